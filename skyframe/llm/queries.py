@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import OP9_SQL, op9_decontaminate
+from .language_id import op10_language_id
 from .mixing import OP1_SQL, op1_mix
 from .secrets import OP4_SQL, op4_secrets
 
@@ -19,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": lambda s, d: op1_mix(table(s, d, "documents")),
         "op4_secret_scans": lambda s, d: op4_secrets(table(s, d, "documents")),
         "op9_benchmark_decontamination": lambda s, d: op9_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op10_language_id": lambda s, d: op10_language_id(table(s, d, "documents")),
     }
 
 
