@@ -10,6 +10,7 @@ from .common import table
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .language_id import op10_language_id
 from .mixing import OP1_SQL, op1_mix
+from .near_dedup import OP2_SQL, op2_near_dedup
 from .secrets import OP4_SQL, op4_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_mix_sources": lambda s, d: op1_mix(table(s, d, "documents")),
+        "op2_minhash_near_dedup": lambda s, d: op2_near_dedup(table(s, d, "documents")),
         "op4_secret_scans": lambda s, d: op4_secrets(table(s, d, "documents")),
         "op9_benchmark_decontamination": lambda s, d: op9_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_language_id": lambda s, d: op10_language_id(table(s, d, "documents")),
@@ -25,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op4_secret_scans": OP4_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_minhash_near_dedup": OP2_SQL, "op4_secret_scans": OP4_SQL, "op9_benchmark_decontamination": OP9_SQL}
