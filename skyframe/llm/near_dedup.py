@@ -7,10 +7,10 @@ candidates, a collision-corrected Jaccard estimate thins them out, and the
 full sets of the texts confirm each link.
 
 Documents with equal sets are one class from the start, so exact copies never
-pair up. In each band bucket the classes are first compared with the bucket's
-smallest one; only classes still in different components are then compared
-with each other, so that large groups of near copies cost about one comparison
-a member, and no link between components is left out.
+pair up. In each band bucket the classes are first compared with one hub; only
+classes still in different components are then compared with each other, in
+blocks of bounded size, so that no row is made for a pair of a large group and
+no link between components is left out.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ BANDS, ROWS = 32, 4
 #: The estimate may fall so many standard deviations short of the threshold.
 SIGMAS = 6.0
 EMPTY = 65535
+#: Classes that a task compares with as many others at a time.
+CHUNK = 512
 
 
 @lru_cache(maxsize=1)
@@ -188,6 +190,87 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) that join different components within the buckets of open_ (key, id, size, c).
+
+    Every class goes to a chunk of about CHUNK classes at most, with those of
+    its largest bucket; a unit is a pair of chunks, with the classes of either
+    that share a bucket. Units compare their classes in memory and return a
+    spanning set of links, so pairs are never rows.
+    """
+    home = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home")).select("id", "home.key")
+    crowd = home.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
+    parts = F.ceil(F.col("members") / CHUNK)
+    chunks = home.join(crowd, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("id"), parts)).alias("chunk"))
+    placed = open_.select("key", "id", "c").join(chunks, "id")
+    met = placed.select("key", F.col("chunk").alias("other")).distinct()
+    units = (
+        placed.join(met, "key")
+        .select(F.xxhash64(F.least("chunk", "other"), F.greatest("chunk", "other")).alias("unit"), "id", "c")
+        .distinct()
+    )
+    units = units.join(nodes.select("id", "f1"), "id")
+    used = with_keys_maybe_in(texts, "id", units.select("id").distinct())
+
+    def compare(rows: pa.Table) -> pa.Table:
+        ids, comp, f1 = (rows.column(c).to_numpy() for c in ("id", "c", "f1"))
+        sets: list[np.ndarray] = []
+        for _, _, data, offsets in slices(rows.column("text").combine_chunks()):
+            sets += shingle_sets(data, offsets, n)
+        own = np.flatnonzero(fingerprints(sets)[0] == f1)  # an id may stand for several texts
+        own = own[np.unique(ids[own], return_index=True)[1]]
+        ids, comp, sets = ids[own], comp[own], [sets[i] for i in own]
+        reg, size = registers(sets)[0], np.array([len(s) for s in sets], np.int64)
+        pairs = []
+        for i in range(len(ids) - 1):
+            j = np.arange(i + 1, len(ids))
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
+            if len(j):
+                one = np.broadcast_to(reg[i], (len(j), BUCKETS))
+                j = j[plausible(one, reg[j], np.full(len(j), size[i]), size[j], percent / 100)]
+                pairs.append(np.stack([np.full(len(j), i), j], axis=1))
+        out = []
+        if pairs and len(pair := np.concatenate(pairs)):
+            both = _overlaps(sets, pair)
+            union = size[pair[:, 0]] + size[pair[:, 1]] - both
+            root = {c: c for c in comp.tolist()}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            for i, j in pair[100 * both >= percent * union].tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    root[x] = y
+                    out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return units.join(used, "id").groupBy("unit").applyInArrow(compare, "a long, b long")
+
+
+def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
+    """Size of the intersection of each pair of sets."""
+    used = np.unique(pair)
+    place = np.zeros(len(sets), np.int64)
+    place[used] = np.arange(len(used))
+    owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
+    _, value, count = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    column = np.cumsum(count > 1) - 1  # only hashes that several sets have
+    several = count[value] > 1
+    owner, value = owner[several], column[value[several]]
+    total = np.zeros((len(used), len(used)), np.float32)
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    for low in range(0, int(column[-1]) + 1, 4096):
+        a, b = np.searchsorted(value, (low, low + 4096))
+        block = np.zeros((len(used), 4096), np.float32)
+        block[owner[a:b], value[a:b] - low] = 1
+        total += block @ block.T
+    return total[place[pair[:, 0]], place[pair[:, 1]]].astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -208,22 +291,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     nodes = classes.where("id is not null")
     banded = nodes.select("id", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(banded.join(hubs.select("key", "hub"), "key"), "bands")
-
-    stars = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(banded.join(sizes, "key"), "bands")
+
+    # The hub of a bucket is its member with the most company over all buckets: the least altered copy.
+    weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))
+    hubs = shared.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("top"))
+    hubs = hubs.select("key", (-F.col("top.col2")).alias("hub"))
+    stars = shared.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(_verified(materialize(_estimated(stars, nodes, percent), "stars"), texts, n, percent), "links")
     found = connected_components(links)
 
     # What is left: classes that share a bucket but no component yet.
-    placed = shared.join(found, shared["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    placed = shared.join(found, shared["id"] == found["node"], "left").select(
+        "key", "id", "size", F.coalesce("component", "id").alias("c")
+    )
     apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     open_ = materialize(placed.join(apart.select("key"), "key"), "open")
-    left, right = open_.toDF("key", "a", "c_a"), open_.toDF("key", "b", "c_b")
-    rest = left.join(right, "key").where("c_a < c_b").select("a", "b").distinct()
-    tried = stars.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    rest = rest.join(tried, F.expr("least(a, b) = x and greatest(a, b) = y"), "left_anti")
-    more = materialize(_verified(materialize(_estimated(rest, nodes, percent), "rest"), texts, n, percent), "links")
+    more = materialize(_compared(open_, nodes, texts, n, percent), "links")
     contracted = found if more.isEmpty() else connected_components(links.union(more))
 
     named = classes.select("f1", "f2", F.col("n").alias("k"), F.col("id").alias("rep")).join(
