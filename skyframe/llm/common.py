@@ -45,12 +45,13 @@ def _slot(key) -> F.Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
 
 
-def with_keys_maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+def with_keys_maybe_in(df: DataFrame, key: str, keys: DataFrame, mark: bool = False) -> DataFrame:
     """Rows of ``df`` whose ``key`` may be among ``keys`` (one column); never drops one that is.
 
     The keys are folded into a bitmap of fixed size (1 MiB), which is what is
     broadcast. It spares the shuffle most wide rows before an exact join; with
     far more keys than bits it lets everything pass and the join still decides.
+    With ``mark``, all rows stay and a boolean column ``_maybe`` tells.
     """
     bitmaps = (
         keys.select(_slot(keys.columns[0]).alias("slot"))
@@ -58,13 +59,14 @@ def with_keys_maybe_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
     )
     slot = _slot(key)
-    position = F.bitmap_bit_position(slot)
+    probed = df.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_at": F.bitmap_bit_position(slot)})
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    probed = df.withColumns({"_bucket": F.bitmap_bucket_number(slot), "_at": position})
-    hit = probed.join(F.broadcast(bitmaps), "_bucket").where(
-        F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
-    )
-    return hit.select(*[df[c] for c in df.columns])
+    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0
+    joined = probed.join(F.broadcast(bitmaps), "_bucket", "left" if mark else "inner")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if mark:
+        return joined.select(*columns, F.coalesce(hit, F.lit(False)).alias("_maybe"))
+    return joined.where(hit).select(*columns)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

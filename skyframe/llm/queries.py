@@ -12,6 +12,7 @@ from .language_id import op10_language_id
 from .mixing import OP1_SQL, op1_mix
 from .near_dedup import OP2_SQL, op2_near_dedup
 from .secrets import OP4_SQL, op4_secrets
+from .suffix_dedup import op8_suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op1_mix_sources": lambda s, d: op1_mix(table(s, d, "documents")),
         "op2_minhash_near_dedup": lambda s, d: op2_near_dedup(table(s, d, "documents")),
         "op4_secret_scans": lambda s, d: op4_secrets(table(s, d, "documents")),
+        "op8_suffix_array_dedup": lambda s, d: op8_suffix_dedup(table(s, d, "documents")),
         "op9_benchmark_decontamination": lambda s, d: op9_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_language_id": lambda s, d: op10_language_id(table(s, d, "documents")),
     }
