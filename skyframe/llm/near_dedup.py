@@ -36,45 +36,47 @@ EMPTY = 65535
 CHUNK = 512
 
 
-@lru_cache(maxsize=1)
-def _borrow_order() -> np.ndarray:
+@lru_cache(maxsize=4)
+def _borrow_order(buckets: int) -> np.ndarray:
     """For each bucket, the others in a fixed pseudo-random order."""
-    return np.stack([np.argsort(stream(1000 + j, BUCKETS), kind="stable") for j in range(BUCKETS)])
+    return np.stack([np.argsort(stream(1000 + j, buckets), kind="stable") for j in range(buckets)])
 
 
-def registers(sorted_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def registers(sorted_sets: list[np.ndarray], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(registers, borrowed registers) of sets of 64-bit hashes, each sorted; EMPTY where nothing fell in.
 
     In the second array, empty buckets take the register of another bucket
     (optimal densification), so that bands work for small sets as well.
     """
-    low = np.zeros((len(sorted_sets), BUCKETS), np.uint64)
-    filled = np.zeros((len(sorted_sets), BUCKETS), bool)
-    bounds = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
-    numbers = np.arange(BUCKETS, dtype=np.uint64)
+    low = np.zeros((len(sorted_sets), 1 << bits), np.uint64)
+    filled = np.zeros((len(sorted_sets), 1 << bits), bool)
+    bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    numbers = np.arange(1 << bits, dtype=np.uint64)
     for i, s in enumerate(sorted_sets):
         if len(s):
             at = np.searchsorted(s, bounds)
             low[i] = s[np.minimum(at, len(s) - 1)]
-            filled[i] = (at < len(s)) & (low[i] >> np.uint64(64 - BUCKET_BITS) == numbers)
-    rest = low << np.uint64(BUCKET_BITS)
+            filled[i] = (at < len(s)) & (low[i] >> np.uint64(64 - bits) == numbers)
+    rest = low << np.uint64(bits)
     zeros = (53 - np.frexp((rest >> np.uint64(11)).astype(np.float64))[1]).astype(np.uint64)  # leading zeros, 53 at most
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     reg = np.where(filled, (zeros << np.uint64(MANTISSA)) + mantissa, EMPTY).astype(np.uint16)
     dense = reg.copy()
     holes = np.flatnonzero(~filled.all(1) & filled.any(1))
-    for j, order in enumerate(_borrow_order()):
+    for j, order in enumerate(_borrow_order(1 << bits)):
         short = holes[~filled[holes, j]]
         dense[short, j] = reg[short, order[filled[short][:, order].argmax(1)]]
     return reg, dense
 
 
-def band_keys(dense: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each band: its four registers and its number, mixed."""
-    four = dense.reshape(len(dense), BANDS, ROWS).astype(np.uint64)
-    packed = four[:, :, 0] | four[:, :, 1] << np.uint64(16) | four[:, :, 2] << np.uint64(32) | four[:, :, 3] << np.uint64(48)
+def band_keys(dense: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit key for each band: its registers (four at most) and its number, mixed."""
+    each = dense[:, : bands * rows].reshape(len(dense), bands, rows).astype(np.uint64)
+    packed = np.zeros((len(dense), bands), np.uint64)
+    for k in range(rows):
+        packed |= each[:, :, k] << np.uint64(16 * k)
     with np.errstate(over="ignore"):
-        return mix(packed ^ stream(5, BANDS)[None, :])
+        return mix(packed ^ stream(5, bands)[None, :])
 
 
 def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -140,12 +142,15 @@ def sketch(texts: DataFrame, n: int) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids whose sizes and registers leave a link possible, with fingerprints f_a, f_b."""
+    """Pairs (a, b) of class ids whose sizes and registers (if any) leave a link possible, with fingerprints f_a, f_b."""
+    sketched = "registers" in classes.columns
     side = lambda x: classes.select(
-        F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("f1").alias(f"f_{x}"), F.col("registers").alias(f"r_{x}")
+        F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("f1").alias(f"f_{x}"), *([F.col("registers").alias(f"r_{x}")] if sketched else [])
     )
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     joined = joined.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    if not sketched:
+        return joined.select("a", "b", "f_a", "f_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,25 +276,8 @@ def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
     return total[place[pair[:, 0]], place[pair[:, 1]]].astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
-
-    A set holds the distinct n-word shingles of the text (A-Z lower-cased, a
-    shorter text as one); a text without words, or null, has the empty set and
-    links with nothing. Rows link where 100 * |A and B| >= percent * |A or B|;
-    component_id is the smallest id reachable, kept says whether it is the
-    row's own (null-safe). Repeated rows share their result. Rows with a null
-    id join the class of their equal sets but no further link.
-    """
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = materialize(sketch(texts, n), "sketches")
-    classes = materialize(  # one row for each distinct non-empty set
-        rows.where("n > 0")
-        .groupBy("f1", "f2", "n")
-        .agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")),
-        "classes",
-    )
-    nodes = classes.where("id is not null")
+def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of all linked classes: ``nodes`` (id, n, f1, bands, perhaps registers), texts (id, text)."""
     banded = nodes.select("id", F.explode("bands").alias("key"))
     sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = materialize(banded.join(sizes, "key"), "bands")
@@ -309,8 +297,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     open_ = materialize(placed.join(apart.select("key"), "key"), "open")
     more = materialize(_compared(open_, nodes, texts, n, percent), "links")
-    contracted = found if more.isEmpty() else connected_components(links.union(more))
+    return found if more.isEmpty() else connected_components(links.union(more))
+
 
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+
+    A set holds the distinct n-word shingles of the text (A-Z lower-cased, a
+    shorter text as one); a text without words, or null, has the empty set and
+    links with nothing. Rows link where 100 * |A and B| >= percent * |A or B|;
+    component_id is the smallest id reachable, kept says whether it is the
+    row's own (null-safe). Repeated rows share their result. Rows with a null
+    id join the class of their equal sets but no further link.
+    """
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = materialize(sketch(texts, n), "sketches")
+    classes = materialize(  # one row for each distinct non-empty set
+        rows.where("n > 0")
+        .groupBy("f1", "f2", "n")
+        .agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")),
+        "classes",
+    )
+    contracted = linked_components(classes.where("id is not null"), texts, n, percent)
     named = classes.select("f1", "f2", F.col("n").alias("k"), F.col("id").alias("rep")).join(
         contracted, F.col("rep") == F.col("node"), "left"
     ).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "k", F.coalesce("component", "rep").alias("component"))
