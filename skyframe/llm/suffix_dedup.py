@@ -234,7 +234,7 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
         "k1", "k2", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")
     )
     every = whole.union(twice.select("k1", "k2", F.col("start").alias("low"), F.expr("start + starts - 1").alias("high"))).union(parts)
-    return every.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("starts"))
+    return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, found: str = "repeats") -> DataFrame:
