@@ -100,7 +100,7 @@ class Model:
         self.langs = langs
         smooth = counts + 0.5
         logs = np.log(smooth / smooth.sum(1, keepdims=True))
-        self.logs = np.ascontiguousarray((logs - logs.max(0)).astype(np.float32))
+        self.logs = np.ascontiguousarray((logs - logs.max(0, initial=-np.inf)).astype(np.float32))
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
         seen = share >= 0.001
         seen[:, ~seen.any(0)] = True  # a script nobody has leaves all

@@ -90,7 +90,7 @@ def route(totals: list[int], members: list[list[int]], quotas: list[int], max_pa
                         senders[step[1]].discard(step[2])
                 flow[step[0]][step[1]] = flow[step[0]].get(step[1], 0) + amount
                 senders[step[1]].add(step[0])
-    return flow
+    return [{s: n for s, n in sent.items() if n} for sent in flow]
 
 
 @dataclass(frozen=True)
