@@ -34,6 +34,8 @@ SIGMAS = 6.0
 EMPTY = 65535
 #: Classes that a task compares with as many others at a time.
 CHUNK = 512
+#: Pairs whose registers are compared in one step.
+PAIRS = 32768
 
 
 @lru_cache(maxsize=4)
@@ -42,12 +44,8 @@ def _borrow_order(buckets: int) -> np.ndarray:
     return np.stack([np.argsort(stream(1000 + j, buckets), kind="stable") for j in range(buckets)])
 
 
-def registers(sorted_sets: list[np.ndarray], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(registers, borrowed registers) of sets of 64-bit hashes, each sorted; EMPTY where nothing fell in.
-
-    In the second array, empty buckets take the register of another bucket
-    (optimal densification), so that bands work for small sets as well.
-    """
+def plain_registers(sorted_sets: list[np.ndarray], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(registers, whether filled) of sets of 64-bit hashes, each sorted; EMPTY where nothing fell in."""
     low = np.zeros((len(sorted_sets), 1 << bits), np.uint64)
     filled = np.zeros((len(sorted_sets), 1 << bits), bool)
     bounds = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -60,7 +58,16 @@ def registers(sorted_sets: list[np.ndarray], bits: int = BUCKET_BITS) -> tuple[n
     rest = low << np.uint64(bits)
     zeros = (53 - np.frexp((rest >> np.uint64(11)).astype(np.float64))[1]).astype(np.uint64)  # leading zeros, 53 at most
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    reg = np.where(filled, (zeros << np.uint64(MANTISSA)) + mantissa, EMPTY).astype(np.uint16)
+    return np.where(filled, (zeros << np.uint64(MANTISSA)) + mantissa, EMPTY).astype(np.uint16), filled
+
+
+def registers(sorted_sets: list[np.ndarray], bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(registers, borrowed registers) of sets of 64-bit hashes, each sorted.
+
+    In the second array, empty buckets take the register of another bucket
+    (optimal densification), so that bands work for small sets as well.
+    """
+    reg, filled = plain_registers(sorted_sets, bits)
     dense = reg.copy()
     holes = np.flatnonzero(~filled.all(1) & filled.any(1))
     for j, order in enumerate(_borrow_order(1 << bits)):
@@ -94,11 +101,16 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 def plausible(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the corrected estimate leaves a similarity of ``threshold`` possible."""
-    any_ = ((a != EMPTY) | (b != EMPTY)).sum(1)
-    equal = ((a == b) & (a != EMPTY)).sum(1)
-    chance = expected_collisions(n, m)
-    estimate = (equal / np.maximum(any_, 1) - chance) / (1 - chance)
-    return estimate >= threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / np.maximum(any_, 1))
+    any_ = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(1), 1)
+    ratio = ((a == b) & (a != EMPTY)).sum(1) / any_
+    least = threshold - SIGMAS * np.sqrt(threshold * (1 - threshold) / any_)
+    keep = np.flatnonzero(ratio >= least)  # the correction only lowers the estimate
+    if not len(keep):
+        return np.zeros(len(ratio), bool)
+    chance = expected_collisions(n[keep], m[keep])
+    out = np.zeros(len(ratio), bool)
+    out[keep] = (ratio[keep] - chance) / (1 - chance) >= least[keep]
+    return out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -109,10 +121,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
 
 def fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each set: two sums of mixed members."""
+    members = np.concatenate([np.zeros(0, np.uint64), *sets])
+    ends = np.cumsum([0, *map(len, sets)])
     with np.errstate(over="ignore"):
-        one = [mix(s + np.uint64(1)).sum(dtype=np.uint64) for s in sets]
-        two = [mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets]
-    return np.array(one, np.uint64).view(np.int64), np.array(two, np.uint64).view(np.int64)
+        one, two = (
+            np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x), dtype=np.uint64)])[ends])
+            for x in (members + np.uint64(1), members ^ np.uint64(0xD6E8FEB86659FD93))
+        )
+    return one.view(np.int64), two.view(np.int64)
 
 
 def sketch(texts: DataFrame, n: int) -> DataFrame:
@@ -167,10 +183,16 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, f_a long, f_b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _texts_of(texts: DataFrame, ids: DataFrame, copies: bool) -> DataFrame:
+    """The texts that may be of ids; with ``copies``, one text for each id."""
+    used = with_keys_maybe_in(texts, "id", ids)
+    return used.dropDuplicates(["id"]) if copies else used
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool) -> DataFrame:
     """The pairs whose full sets have 100 * |A and B| >= percent * |A or B|."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    used = with_keys_maybe_in(texts, "id", ids)
+    used = _texts_of(texts, ids, copies)
     side = lambda x: used.select(F.col("id").alias(x), F.col("text").alias(f"t_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
 
@@ -195,7 +217,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool) -> DataFrame:
     """Links (a, b) that join different components within the buckets of open_ (key, id, size, c).
 
     Every class goes to a chunk of about CHUNK classes at most, with those of
@@ -215,7 +237,7 @@ def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perc
         .distinct()
     )
     units = units.join(nodes.select("id", "f1"), "id")
-    used = with_keys_maybe_in(texts, "id", units.select("id").distinct())
+    used = _texts_of(texts, units.select("id").distinct(), copies)
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, comp, f1 = (rows.column(c).to_numpy() for c in ("id", "c", "f1"))
@@ -225,15 +247,16 @@ def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perc
         own = np.flatnonzero(fingerprints(sets)[0] == f1)  # an id may stand for several texts
         own = own[np.unique(ids[own], return_index=True)[1]]
         ids, comp, sets = ids[own], comp[own], [sets[i] for i in own]
-        reg, size = registers(sets)[0], np.array([len(s) for s in sets], np.int64)
-        pairs = []
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, len(ids))
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))]
-            if len(j):
-                one = np.broadcast_to(reg[i], (len(j), BUCKETS))
-                j = j[plausible(one, reg[j], np.full(len(j), size[i]), size[j], percent / 100)]
-                pairs.append(np.stack([np.full(len(j), i), j], axis=1))
+        reg, size = plain_registers(sets)[0], np.array([len(s) for s in sets], np.int64)
+        pairs, rows_at_once = [], max(1, PAIRS // max(len(ids), 1))
+        for low in range(0, len(ids), rows_at_once):
+            i, j = np.nonzero(comp[low : low + rows_at_once, None] != comp[None, :])
+            i += low
+            fit = (j > i) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))
+            i, j = i[fit], j[fit]
+            if len(i):
+                fit = plausible(reg[i], reg[j], size[i], size[j], percent / 100)
+                pairs.append(np.stack([i[fit], j[fit]], axis=1))
         out = []
         if pairs and len(pair := np.concatenate(pairs)):
             both = _overlaps(sets, pair)
@@ -270,24 +293,27 @@ def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
     owner, value = owner[order], value[order]
     for low in range(0, int(column[-1]) + 1, 4096):
         a, b = np.searchsorted(value, (low, low + 4096))
-        block = np.zeros((len(used), 4096), np.float32)
+        block = np.zeros((len(used), min(4096, int(column[-1]) + 1 - low)), np.float32)
         block[owner[a:b], value[a:b] - low] = 1
         total += block @ block.T
     return total[place[pair[:, 0]], place[pair[:, 1]]].astype(np.int64)
 
 
-def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of all linked classes: ``nodes`` (id, n, f1, bands, perhaps registers), texts (id, text)."""
+def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool = False) -> DataFrame:
+    """(node, component) of all linked classes: ``nodes`` (id, n, f1, bands, perhaps registers), texts (id, text).
+
+    With ``copies``, all texts of an id have the same set, and there may be very many.
+    """
     banded = nodes.select("id", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(banded.join(sizes, "key"), "bands")
+    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+    shared = materialize(with_keys_maybe_in(banded, "key", sizes.select("key")).join(sizes, "key"), "bands")
 
     # The hub of a bucket is its member with the most company over all buckets: the least altered copy.
     weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = shared.join(weights, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"))).alias("top"))
     hubs = hubs.select("key", (-F.col("top.col2")).alias("hub"))
     stars = shared.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = materialize(_verified(materialize(_estimated(stars, nodes, percent), "stars"), texts, n, percent), "links")
+    links = materialize(_verified(materialize(_estimated(stars, nodes, percent), "stars"), texts, n, percent, copies), "links")
     found = connected_components(links)
 
     # What is left: classes that share a bucket but no component yet.
@@ -296,7 +322,7 @@ def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int)
     )
     apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     open_ = materialize(placed.join(apart.select("key"), "key"), "open")
-    more = materialize(_compared(open_, nodes, texts, n, percent), "links")
+    more = materialize(_compared(open_, nodes, texts, n, percent, copies), "links")
     return found if more.isEmpty() else connected_components(links.union(more))
 
 

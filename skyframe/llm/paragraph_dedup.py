@@ -1,6 +1,6 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, components.
 
-Paragraphs are lines of a text. Those that agree in their words are one class;
+Paragraphs are lines of a text. Those with equal shingle sets are one class;
 classes that meet in a band are verified on their full shingle sets, and all
 but the first paragraph of a component are removed.
 """
@@ -10,13 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .near_dedup import band_keys, fingerprints, linked_components, registers, shingle_sets
-from .textbytes import slices
+from .near_dedup import band_keys, fingerprints, linked_components, registers
+from .textbytes import NOT_SPACE, shingles, slices, words
 
 BITS, ROWS = 6, 3
 
@@ -38,39 +40,47 @@ def repeated_paragraphs(
     doc_ids of the paragraphs that stay in their stead. Paragraphs of repeated
     rows are copies like any others. A null or empty text has no paragraphs.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    words = F.trim(F.regexp_replace(F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    split = (
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), lines.alias("lines"))
-        .select("doc_id", "row", F.posexplode("lines").alias("place", "line"))
-        .withColumn("text", words)
-    )
-    n_words = F.when(F.col("text") == "", 0).otherwise(1 + F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))))
-    paragraphs = materialize(
-        split.select("doc_id", "row", "place", F.when(n_words >= min_words, F.xxhash64("text")).alias("id"), (n_words > 0).alias("full")),
-        "paragraphs",
-    )
-    texts = split.where(n_words >= min_words).select(F.xxhash64("text").alias("id"), "text")
     bands = tuned_bands(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, offsets in slices(batch.column("text")):
-                sets = shingle_sets(data, offsets, n)
-                keys = band_keys(registers(sets, BITS)[1], bands, ROWS).view("int64")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").slice(begin, end - begin),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(fingerprints(sets)[0]),
-                        pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64())),
-                    ],
-                    names=["id", "n", "f1", "bands"],
-                )
-
-    once = texts.dropDuplicates(["id"])
-    nodes = materialize(once.mapInArrow(run, "id long, n long, f1 long, bands array<long>"), "nodes")
-    found = linked_components(nodes, texts.dropDuplicates(["id"]), n, percent)
+            for begin, end, _, _ in slices(batch.column("text")):
+                part = batch.slice(begin, end - begin)
+                split = pc.split_pattern(part.column("text").fill_null(""), "\n")
+                owner, lines = pc.list_parent_indices(split), split.flatten()
+                first = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+                place = np.arange(len(lines)) - first[owner.to_numpy()]
+                for low, high, data, offsets in slices(lines):
+                    hashed, start = words(data, offsets, NOT_SPACE)
+                    count = np.diff(start)
+                    runs, start = shingles(hashed, start, n)
+                    long = np.flatnonzero(count >= min_words)
+                    sets = [np.unique(runs[start[i] : start[i + 1]]) for i in long]
+                    keys = band_keys(registers(sets, BITS)[1], bands, ROWS).view(np.int64)
+                    at = np.full(high - low, -1)
+                    at[long] = np.arange(len(long))
+                    at = pa.array(at, mask=at < 0)
+                    mine = owner.slice(low, high - low)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column("doc_id").take(mine),
+                            part.column("row").take(mine),
+                            pa.array(place[low:high], pa.int32()),
+                            pa.array(count > 0),
+                            pa.array(fingerprints(sets)[0]).take(at),
+                            pa.array([len(s) for s in sets], pa.int64()).take(at),
+                            pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64())).take(at),
+                            pc.if_else(at.is_valid(), lines.slice(low, high - low), None),
+                        ],
+                        names=["doc_id", "row", "place", "full", "id", "n", "bands", "text"],
+                    )
+
+    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    schema = "doc_id long, row long, place int, full boolean, id long, n long, bands array<long>, text string"
+    paragraphs = materialize(numbered.mapInArrow(run, schema), "paragraphs")
+    compared = paragraphs.where("id is not null")
+    nodes = materialize(compared.select("id", "n", "bands").dropDuplicates(["id"]).withColumn("f1", F.col("id")), "nodes")
+    found = linked_components(nodes, compared.select("id", "text"), n, percent, copies=True)
 
     placed = paragraphs.where("id is not null").join(found, F.col("id") == F.col("node"), "left").select(
         "doc_id", "row", "place", "full", F.coalesce("component", "id").alias("component")
