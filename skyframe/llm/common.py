@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014):
     every step is one aggregation and one join, each round is written to the
-    shared folder, and only two numbers a round come to the driver. Nodes
+    shared folder, and only one number a round comes to the driver. Nodes
     without an edge aren't returned. Loops and repeated edges do no harm.
     """
 
@@ -90,25 +90,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             )
         return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(pairs: DataFrame) -> bool:
+        # only stars are left: no node has two smaller neighbours, or a smaller and a larger one
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("end"))
+        mixed = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.count(F.lit(1)).alias("all")).where("up > 1 or up = 1 and all > 1")
+        return mixed.agg(F.count(F.lit(1))).first()[0] == 0
 
     current = materialize(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    before = mark(current)
     for _ in range(max_rounds):
-        if not before[0]:
+        if settled(current):
             break
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         wide = star(both, True)
         current = materialize(star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
-        after = mark(current)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     # settled: every edge joins a node to the smallest node of its component

@@ -323,7 +323,8 @@ def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int,
     apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     open_ = materialize(placed.join(apart.select("key"), "key"), "open")
     more = materialize(_compared(open_, nodes, texts, n, percent, copies), "links")
-    return found if more.isEmpty() else connected_components(links.union(more))
+    stars_found = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # fewer and shorter than the links themselves
+    return found if more.isEmpty() else connected_components(stars_found.union(more))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:

@@ -227,3 +227,19 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "source"] and out.count() > 100
+
+
+def test_components_of_random_graphs(spark):
+    rng = random.Random(9)
+    for nodes, count in ((60, 40), (60, 120), (400, 300)):
+        edges = [(rng.randrange(nodes), rng.randrange(nodes)) for _ in range(count)]
+        root = list(range(nodes))
+        for _ in range(nodes):
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        linked = {x for a, b in edges if a != b for x in (a, b)}
+        found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert len(found) == len(linked)
+        assert {r.node: r.component for r in found} == {x: root[x] for x in linked}
+    stars = spark.createDataFrame([(5, 1), (7, 1), (1, 1), (5, 1)], "a long, b long")
+    assert sorted(map(tuple, connected_components(stars).collect())) == [(1, 1), (5, 1), (7, 1)]
