@@ -217,13 +217,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, copies:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool) -> DataFrame:
-    """Links (a, b) that join different components within the buckets of open_ (key, id, size, c).
+def _units(open_: DataFrame) -> DataFrame:
+    """(unit, id, c): the classes of open_ (key, id, size, c) that are to be compared together.
 
     Every class goes to a chunk of about CHUNK classes at most, with those of
     its largest bucket; a unit is a pair of chunks, with the classes of either
-    that share a bucket. Units compare their classes in memory and return a
-    spanning set of links, so pairs are never rows.
+    that share a bucket. The buckets of a large group lie in the same chunks,
+    so a class meets each set of chunks once, not once for each bucket.
     """
     home = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home")).select("id", "home.key")
     crowd = home.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
@@ -231,13 +231,30 @@ def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, perc
     chunks = home.join(crowd, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("id"), parts)).alias("chunk"))
     placed = open_.select("key", "id", "c").join(chunks, "id")
     met = placed.select("key", F.col("chunk").alias("other")).distinct()
-    units = (
-        placed.join(met, "key")
+    names = ["s1", "s2", "n_chunks"]  # name a bucket's set of chunks
+    named = met.groupBy("key").agg(
+        F.bit_xor(F.xxhash64("other")).alias("s1"), F.bit_xor(F.xxhash64("other", F.lit("#"))).alias("s2"), F.count(F.lit(1)).alias("n_chunks")
+    )
+    others = met.join(named, "key").select(*names, "other").distinct()
+    return (
+        placed.join(named, "key")
+        .select(*names, "chunk", "id", "c")
+        .distinct()
+        .join(others, names)
         .select(F.xxhash64(F.least("chunk", "other"), F.greatest("chunk", "other")).alias("unit"), "id", "c")
         .distinct()
     )
+
+
+def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool) -> DataFrame:
+    """Links (a, b) that join different components within the buckets of open_ (key, id, size, c).
+
+    Units compare their classes in memory and return a spanning set of links,
+    so pairs are never rows.
+    """
+    units = _units(open_)
     units = units.join(nodes.select("id", "f1"), "id")
-    used = _texts_of(texts, units.select("id").distinct(), copies)
+    used = _texts_of(texts, open_.select("id").distinct(), copies)
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, comp, f1 = (rows.column(c).to_numpy() for c in ("id", "c", "f1"))

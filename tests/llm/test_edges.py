@@ -15,7 +15,7 @@ from skyframe.llm.decontaminate import find_contamination, op9_decontaminate
 from skyframe.llm.embedding_dedup import near_vectors
 from skyframe.llm.language_id import op10_language_id
 from skyframe.llm.mixing import op1_mix, route, water_fill
-from skyframe.llm.near_dedup import near_duplicates, op2_near_dedup
+from skyframe.llm.near_dedup import _units, near_duplicates, op2_near_dedup
 from skyframe.llm.paragraph_dedup import repeated_paragraphs
 from skyframe.llm.quality import score_quality
 from skyframe.llm.secrets import op4_secrets, redact
@@ -243,3 +243,16 @@ def test_components_of_random_graphs(spark):
         assert {r.node: r.component for r in found} == {x: root[x] for x in linked}
     stars = spark.createDataFrame([(5, 1), (7, 1), (1, 1), (5, 1)], "a long, b long")
     assert sorted(map(tuple, connected_components(stars).collect())) == [(1, 1), (5, 1), (7, 1)]
+
+
+def test_units_cover_all_buckets(spark, monkeypatch):
+    monkeypatch.setattr("skyframe.llm.near_dedup.CHUNK", 4)
+    rng = random.Random(3)
+    members = {key: rng.sample(range(80), rng.choice((2, 3, 30))) for key in range(25)}
+    rows = [(key, i, len(ids), i % 7) for key, ids in members.items() for i in ids]
+    units: dict[int, set[int]] = {}
+    for r in _units(spark.createDataFrame(rows, "key long, id long, size long, c long")).collect():
+        units.setdefault(r.unit, set()).add(r.id)
+        assert r.c == r.id % 7
+    together = {(a, b) for ids in units.values() for a in ids for b in ids}
+    assert all((a, b) in together for ids in members.values() for a in ids for b in ids)
