@@ -220,12 +220,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, copies:
 def _units(open_: DataFrame) -> DataFrame:
     """(unit, id, c): the classes of open_ (key, id, size, c) that are to be compared together.
 
-    Every class goes to a chunk of about CHUNK classes at most, with those of
-    its largest bucket; a unit is a pair of chunks, with the classes of either
-    that share a bucket. The buckets of a large group lie in the same chunks,
-    so a class meets each set of chunks once, not once for each bucket.
+    Every class goes to a chunk of about CHUNK classes at most, with those that
+    reach the same largest bucket over a bucket of theirs; a unit is a pair of
+    chunks, with the classes of either that share a bucket. The buckets of a
+    large group lie in the same chunks, so a class meets each set of chunks
+    once, not once for each bucket.
     """
-    home = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home")).select("id", "home.key")
+    largest = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home"))
+    label = open_.join(largest, "id").groupBy("key").agg(F.max("home").alias("home"))
+    home = open_.join(label, "key").groupBy("id").agg(F.max("home").alias("home")).select("id", "home.key")
     crowd = home.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
     parts = F.ceil(F.col("members") / CHUNK)
     chunks = home.join(crowd, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("id"), parts)).alias("chunk"))
