@@ -2,7 +2,8 @@
 
 Paragraphs are lines of a text. Those with equal shingle sets are one class;
 classes that meet in a band are verified on their full shingle sets, and all
-but the first paragraph of a component are removed.
+but the first paragraph of a component are removed. Small sets meet by their
+least hashes instead of bands, which misses no pair.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .near_dedup import band_keys, fingerprints, linked_components, registers
 from .textbytes import NOT_SPACE, shingles, slices, words
 
 BITS, ROWS = 6, 3
+#: Sets of so many shingles at most meet by prefixes.
+SMALL = 15
 
 
 def tuned_bands(similarity: float, rows: int = ROWS, miss: float = 1e-5, most: int = (1 << BITS) // ROWS) -> int:
@@ -28,6 +31,32 @@ def tuned_bands(similarity: float, rows: int = ROWS, miss: float = 1e-5, most: i
     return min(most, math.ceil(math.log(miss) / math.log(1 - similarity**rows)))
 
 
+def meeting_keys(sets: list[np.ndarray], bands: int, percent: int) -> pa.Array:
+    """The keys by which sorted sets meet: a list for each.
+
+    Two sets of the wanted similarity share one of the least floor(s (100 -
+    percent) / 100) + 1 hashes of each, s being its size. A set that only its
+    equal can match has no keys, as equal sets are one class.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    prefix = size - -(-percent * size // 100) + 1
+    alone = 100 * size < percent * (size + 1)  # no set of another size, nor one of this size with another member
+    large = np.flatnonzero(size > SMALL)
+    banded = band_keys(registers([sets[i] for i in large], BITS)[1], bands, ROWS)
+    place = np.zeros(len(sets), np.int64)
+    place[large] = np.arange(len(large))
+    out = []
+    for i, s in enumerate(sets):
+        mine = [np.zeros(0, np.uint64)]
+        if size[i] > SMALL:
+            mine.append(banded[place[i]])
+        if not alone[i] and percent * size[i] <= 100 * SMALL:
+            mine.append(s[: prefix[i]])
+        out.append(np.concatenate(mine))
+    ends = np.cumsum([0, *map(len, out)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)))
+
+
 def repeated_paragraphs(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, min_words: int = 20
 ) -> DataFrame:
@@ -56,7 +85,7 @@ def repeated_paragraphs(
                     runs, start = shingles(hashed, start, n)
                     long = np.flatnonzero(count >= min_words)
                     sets = [np.unique(runs[start[i] : start[i + 1]]) for i in long]
-                    keys = band_keys(registers(sets, BITS)[1], bands, ROWS).view(np.int64)
+                    keys = meeting_keys(sets, bands, percent)
                     at = np.full(high - low, -1)
                     at[long] = np.arange(len(long))
                     at = pa.array(at, mask=at < 0)
@@ -69,7 +98,7 @@ def repeated_paragraphs(
                             pa.array(count > 0),
                             pa.array(fingerprints(sets)[0]).take(at),
                             pa.array([len(s) for s in sets], pa.int64()).take(at),
-                            pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), bands).cast(pa.list_(pa.int64())).take(at),
+                            keys.take(at),
                             pc.if_else(at.is_valid(), lines.slice(low, high - low), None),
                         ],
                         names=["doc_id", "row", "place", "full", "id", "n", "bands", "text"],
@@ -105,4 +134,5 @@ def repeated_paragraphs(
 
 
 def op5_paragraph_dedup(docs: DataFrame) -> DataFrame:
-    return repeated_paragraphs(docs)
+    """Every line that holds a word is compared; lines of less than five words are one shingle."""
+    return repeated_paragraphs(docs, min_words=1)

@@ -3,7 +3,7 @@
 import re
 from collections import Counter, defaultdict
 
-from skyframe.llm.paragraph_dedup import repeated_paragraphs
+from skyframe.llm.paragraph_dedup import op5_paragraph_dedup, repeated_paragraphs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -52,3 +52,38 @@ def test_copies_that_differ_in_case_and_spaces(spark):
     got = {r.doc_id: r for r in repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i].removed for i in (1, 2, 3, None, 4, 5, 6)] == [[], [0], [2, 3], [0], [], [], []]
     assert [got[i].n_paragraphs for i in (1, 2, 3, None, 4, 5, 6)] == [1, 1, 3, 1, 0, 0, 0]
+
+
+def test_short_lines_against_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    seven = "one two three four five six seven eight nine"  # five shingles, six with one word more: similarity 5/6
+    extra = [(10**6, f"{seven}\nagain\nten small words stand here"), (10**6 + 1, f"AGAIN\n{seven} ten\n\nten small words  stand here")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    seen, holders, both = [], defaultdict(list), Counter()
+    for r in sorted(docs.collect()):
+        for place, line in enumerate((r.text or "").split("\n")):
+            w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
+            if w:
+                seen.append((r.doc_id, place, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))))
+    sets = list(dict.fromkeys(s for _, _, s in seen))
+    root = {s: s for s in sets}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for i, s in enumerate(sets):
+        for x in s:
+            both.update((j, i) for j in holders[x])
+            holders[x].append(i)
+    for (i, j), k in both.items():
+        if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+            root[find(sets[i])] = find(sets[j])
+    first, want = {}, defaultdict(list)
+    for doc, place, s in seen:
+        if first.setdefault(find(s), (doc, place)) != (doc, place):
+            want[doc].append(place)
+    assert want[10**6 + 1] == [0, 1, 3]
+    got = op5_paragraph_dedup(docs).collect()
+    assert len(got) == docs.count() and all(r.removed == want.get(r.doc_id, []) for r in got)
