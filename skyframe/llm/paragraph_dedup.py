@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .near_dedup import band_keys, fingerprints, linked_components, registers
+from .passages import numbered_texts, repeated_passages
 from .textbytes import NOT_SPACE, shingles, slices, words
 
 BITS, ROWS = 6, 3
@@ -69,6 +70,12 @@ def repeated_paragraphs(
     doc_ids of the paragraphs that stay in their stead. Paragraphs of repeated
     rows are copies like any others. A null or empty text has no paragraphs.
     """
+    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    return _by_rows(numbered, n, percent, min_words).withColumnRenamed("doc_id", doc_id).drop("row")
+
+
+def _by_rows(numbered: DataFrame, n: int, percent: int, min_words: int) -> DataFrame:
+    """repeated_paragraphs of (doc_id, row, text), with the row."""
     bands = tuned_bands(percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +111,6 @@ def repeated_paragraphs(
                         names=["doc_id", "row", "place", "full", "id", "n", "bands", "text"],
                     )
 
-    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     schema = "doc_id long, row long, place int, full boolean, id long, n long, bands array<long>, text string"
     paragraphs = materialize(numbered.mapInArrow(run, schema), "paragraphs")
     compared = paragraphs.where("id is not null")
@@ -123,16 +129,25 @@ def repeated_paragraphs(
     return (
         again.groupBy("row")
         .agg(
-            F.max("doc_id").alias(doc_id),
+            F.max("doc_id").alias("doc_id"),
             F.count(F.when(F.col("full"), 1)).alias("n_paragraphs"),
             F.count(F.when(gone, 1)).alias("n_removed"),
             F.array_sort(F.collect_list(F.when(gone, F.col("place")))).alias("removed"),
             F.array_sort(F.collect_set(F.when(gone, F.col("first.doc_id")))).alias("firsts"),
         )
-        .drop("row")
     )
 
 
 def op5_paragraph_dedup(docs: DataFrame) -> DataFrame:
-    """Every line that holds a word is compared; lines of less than five words are one shingle."""
-    return repeated_paragraphs(docs, min_words=1)
+    """repeated_paragraphs of every line that holds a word, and the passages of 50 words that repeat inside or across lines.
+
+    Lines of less than five words are one shingle. n_shared_words, n_cut_words
+    and cuts are those of repeated_passages; words are counted over the text.
+    """
+    numbered = numbered_texts(docs)
+    passages = repeated_passages(numbered)
+    none = F.array().cast(passages.schema["cuts"].dataType)
+    return (
+        _by_rows(numbered, 5, 80, 1).join(passages, "row", "left").drop("row")
+        .withColumns({"n_shared_words": F.coalesce("n_shared_words", F.lit(0)), "n_cut_words": F.coalesce("n_cut_words", F.lit(0)), "cuts": F.coalesce("cuts", none)})
+    )
