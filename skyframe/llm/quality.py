@@ -30,7 +30,7 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     texts, metas = [], []
     tags = []
     for k, name in enumerate(("source", "lang")):
-        at = np.array([hash_bin(f"{k}:{x}") for x in batch.column(name).to_pylist()], np.int64)
+        at = np.array([hash_bin(k, x) for x in batch.column(name).to_pylist()], np.int64)
         tags.append(at)
     for begin, end, data, offsets in slices(batch.column("text")):
         n = end - begin
@@ -60,9 +60,20 @@ def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), np.concatenate(metas)
 
 
-def hash_bin(x: str) -> int:
-    value = int.from_bytes(x.encode()[:64].ljust(8, b"\0"), "little") % (1 << 64)
-    return int(mix(np.array([value], np.uint64))[0] % np.uint64(META_BINS))
+def tag_hash(kind: int, x: str | None) -> int:
+    """64 bits of all bytes of a name and its length; a null is no text's equal."""
+    raw = b"" if x is None else x.encode()
+    parts = np.frombuffer(raw.ljust(-(-len(raw) // 8) * 8, b"\0"), "<u8").astype(np.uint64)
+    value = np.array([2 * kind + (x is None), len(raw)], np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.zeros(1, np.uint64)
+        for part in (*value, *parts):
+            total = mix((total ^ part) + np.uint64(0x9E3779B97F4A7C15))
+    return int(total[0])
+
+
+def hash_bin(kind: int, x: str | None) -> int:
+    return tag_hash(kind, x) % META_BINS
 
 
 class Linear:
