@@ -7,8 +7,9 @@ into the one before, or insert empty turns first. Dynamic programming over the
 automaton's states finds the cheapest repair.
 
 The step of one turn is a small matrix over states, and steps compose in the
-(min, +) sense. Conversations are cut into blocks of bounded length, so a very
-long one is never in one task: blocks are condensed to one matrix each, entry
+(min, +) sense. Rows are range-partitioned in conversation order and cut by
+rank into blocks of bounded length, so a very long one is never in one task,
+whatever its turn numbers: blocks are condensed to one matrix each, entry
 states come from the matrices, and each block is then repaired on its own.
 """
 
@@ -18,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -108,7 +110,7 @@ CLOSE = "<|end|>\n"
 def format_chats(
     turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
-    """One row for each input turn: conv_id, turn, place (order within the block), role (given), action, cost, rendered.
+    """One row for each input turn: conv_id, turn, place (order within the conversation), role (given), action, cost, rendered.
 
     The ``rendered`` pieces of a conversation, joined in the order (turn,
     place), are the repaired sequence in the template; inserted turns are part
@@ -117,24 +119,40 @@ def format_chats(
     without conv_id form one conversation. An unknown or null role must be
     relabelled; a null text is empty; "<|" within texts is broken up.
     """
-    block = F.floor(F.coalesce(F.col(turn), F.lit(0)) / BLOCK).cast("long")
-    blocks = materialize(
-        turns.select(
-            F.col(conv_id).alias("conv"), block.alias("block"), F.struct(F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).alias("t")
-        )
-        .groupBy("conv", "block")
-        .agg(F.array_sort(F.collect_list("t")).alias("turns")),
-        "chatblocks",
-    )
+    keys = ["conv", "turn", "role", "text"]
+    rows = turns.select(
+        F.col(conv_id).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("tie")
+    )  # equal rows may stand in any order, but not all in one partition
+    dealt = rows.repartitionByRange(*keys, "tie").sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()).drop("tie")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            conv = batch.column("conv")
+            before, after = conv.slice(0, len(conv) - 1), conv.slice(1)
+            same = pc.or_(pc.fill_null(pc.equal(before, after), False), pc.and_(before.is_null(), after.is_null()))
+            bounds = np.concatenate([[0], 1 + np.flatnonzero(~same.to_numpy(zero_copy_only=False)), [len(conv)]])
+            starts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+            first = pa.array(starts)
+            each = pa.StructArray.from_arrays([batch.column(c) for c in ("turn", "role", "text")], ["turn", "role", "text"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(conv)), pa.int32()), each)
+            yield pa.RecordBatch.from_arrays([conv.take(first), batch.column("at").take(first), lists], names=["conv", "block", "turns"])
+
+    types = dict(rows.dtypes)
+    blocks = materialize(dealt.mapInArrow(cut, f"conv {types['conv']}, block long, turns array<struct<turn: long, role: {types['role']}, text: {types['text']}>>"), "chatblocks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             costs = [condense(r).ravel().tolist() for r in batch.column("roles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("block"), pa.array(costs, pa.list_(pa.int64()))], names=["conv", "block", "cost"])
+            sizes = pc.list_value_length(batch.column("roles")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv"), batch.column("block"), sizes, pa.array(costs, pa.list_(pa.int64()))], names=["conv", "block", "size", "cost"]
+            )
 
     conv_type = dict(blocks.dtypes)["conv"]
     condensed = blocks.select("conv", "block", F.col("turns.role").alias("roles")).mapInArrow(
-        matrices, f"conv {conv_type}, block long, cost array<long>"
+        matrices, f"conv {conv_type}, block long, size long, cost array<long>"
     )
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +163,12 @@ def format_chats(
                 for s in reversed(steps):
                     best.append(np.minimum(_FAR, (np.array(s["cost"]).reshape(4, 4) + best[-1][None, :]).min(1)))
                 best.reverse()
-                state = START
+                state, place = START, 0
                 for k, s in enumerate(steps):
                     following = int((np.array(s["cost"]).reshape(4, 4)[state] + best[k + 1]).argmin())
-                    out.append((i, s["block"], state, following, k == len(steps) - 1))
-                    state = following
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
+                    out.append((i, s["block"], state, following, k == len(steps) - 1, place))
+                    state, place = following, place + s["size"]
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("conv").take(pa.array(columns[0], pa.int64())),
@@ -158,19 +176,20 @@ def format_chats(
                     pa.array(columns[2], pa.int32()),
                     pa.array(columns[3], pa.int32()),
                     pa.array(columns[4], pa.bool_()),
+                    pa.array(columns[5], pa.int64()),
                 ],
-                names=["conv", "block", "entry", "leave", "last"],
+                names=["conv", "block", "entry", "leave", "last", "start"],
             )
 
-    per_conv = condensed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "cost"))).alias("steps"))
-    ways = per_conv.mapInArrow(states, f"conv {conv_type}, block long, entry int, leave int, last boolean")
-    ready = blocks.alias("x").join(ways.alias("w"), F.expr("x.conv <=> w.conv and x.block = w.block")).select("x.*", "w.entry", "w.leave", "w.last")
+    per_conv = condensed.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "size", "cost"))).alias("steps"))
+    ways = per_conv.mapInArrow(states, f"conv {conv_type}, block long, entry int, leave int, last boolean, start long")
+    ready = blocks.alias("x").join(ways.alias("w"), F.expr("x.conv <=> w.conv and x.block = w.block")).select("x.*", "w.entry", "w.leave", "w.last", "w.start")
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             conv, rows = batch.column("conv"), []
-            rest = zip(*(batch.column(c).to_pylist() for c in ("turns", "entry", "leave", "last")), strict=True)
-            for i, (turns, entry, leave, last) in enumerate(rest):
+            rest = zip(*(batch.column(c).to_pylist() for c in ("turns", "entry", "leave", "last", "start")), strict=True)
+            for i, (turns, entry, leave, last, start) in enumerate(rest):
                 state = entry
                 for place, (t, (new, action, inserted, cost)) in enumerate(zip(turns, repair([t["role"] for t in turns], entry, leave), strict=True)):
                     piece = "\n\n" if "merge" in action else ("" if state == START else CLOSE) + "".join(_open(r) + CLOSE for r in inserted) + _open(new)
@@ -178,16 +197,16 @@ def format_chats(
                     if last and place == len(turns) - 1:
                         cost += int(END[new])
                         piece += CLOSE + "".join(_open(r) + CLOSE for r in ([], [USER, ASSISTANT], [ASSISTANT], [])[new])
-                    rows.append((i, t["turn"], place, ROLES[new - 1], action, cost, piece))
+                    rows.append((i, t["turn"], start + place, ROLES[new - 1], action, cost, piece))
                     state = new
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [conv.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))],
                 names=[conv_id, "turn", "place", "role", "action", "cost", "rendered"],
             )
 
-    return ready.mapInArrow(render, f"`{conv_id}` {conv_type}, turn long, place int, role string, action string, cost long, rendered string")
+    return ready.mapInArrow(render, f"`{conv_id}` {conv_type}, turn long, place long, role string, action string, cost long, rendered string")
 
 
 def op3_chat_formatting(turns: DataFrame) -> DataFrame:
