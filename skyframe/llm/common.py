@@ -6,11 +6,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the key filter: 256 bitmaps of 4 KiB, whatever the number of keys.
 FILTER_BITS = 1 << 23
+#: Bits of the filter of hashes that Python tasks hold.
+HASH_BITS = 27
+_PAGE = 32768
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,8 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _slot(key) -> F.Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1
+def _slot(key, bits: int = FILTER_BITS) -> F.Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits)) + 1
 
 
 def with_keys_maybe_in(df: DataFrame, key: str, keys: DataFrame, mark: bool = False) -> DataFrame:
@@ -69,6 +73,25 @@ def with_keys_maybe_in(df: DataFrame, key: str, keys: DataFrame, mark: bool = Fa
     return joined.where(hit).select(*columns)
 
 
+def key_bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of 64-bit keys by their lowest HASH_BITS bits: 16 MiB on the driver, whatever their number."""
+    slot = F.col(keys.columns[0]).bitwiseAND(F.lit((1 << HASH_BITS) - 1)) + 1
+    pages = (
+        keys.select(slot.alias("slot"))
+        .groupBy(F.bitmap_bucket_number("slot").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    )
+    bitmap = np.zeros((1 << HASH_BITS) // 8, np.uint8)
+    for page, bits in pages.toLocalIterator():
+        bitmap[(page - 1) * _PAGE // 8 : page * _PAGE // 8] = np.frombuffer(bits, np.uint8)
+    return bitmap
+
+
+def maybe_in(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be among those of the bitmap; true for all that are."""
+    at = (keys.astype(np.uint64) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int64)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b); component is the smallest node reached.
 

@@ -7,15 +7,18 @@ losing a match:
 
 1. Every string of ``length`` bytes is anchored at the smallest k-gram hash
    among its first SPAN k-grams; equal strings have the same anchor at the same
-   place. Only anchors are ranked. The first rank is the string from the anchor
-   over ``length - SPAN`` bytes, which all strings of that anchor contain:
-   where it is unique, none of them occurs elsewhere.
-2. The next rank is longer than ``length``: the union of the anchor's strings.
-   Where all anchors of a first rank agree in it, all their strings repeat.
-3. Only where anchors agree in the first rank and not in the second are single
-   strings ranked, one anchor standing for all that agree in both.
-
-Ranks are names: 64-bit hashes, two independent ones wherever they decide.
+   place. Only anchors are ranked, and all strings of an anchor contain the
+   ``length - SPAN`` bytes from it.
+2. The first rank names the first 2 GRAM bytes from the anchor. In each round
+   Spark groups the (rank, position) rows, drops ranks that have become unique,
+   and names the pair of a rank and the string that follows it, which doubles
+   the length, until ``length - SPAN`` bytes are ranked.
+3. What is left is ranked once more by the union of the anchor's strings, which
+   is longer than ``length``. Where all anchors of a rank agree in it, all their
+   strings repeat. Only where they don't, single strings are ranked, one anchor
+   standing for all that agree in both.
+
+Ranks are names, 64-bit hashes; two independent ones decide.
 """
 
 from __future__ import annotations
@@ -27,72 +30,91 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_keys_maybe_in
+from .common import key_bitmap, materialize, maybe_in, with_keys_maybe_in
 from .textbytes import mix, powers, slices, stream
 
 LENGTH, SPAN, GRAM = 400, 160, 24
-SEGMENT = 4 << 20
-#: A first rank with more different second ranks than this is compared as Spark rows, not within one task.
-MANY = 2048
-#: First ranks that one task call compares.
-RANKS_PER_GROUP = 64
+#: A power of two: places within a segment and the k-grams' hashes share 64 bits.
+SEGMENT = 1 << 19
+#: Bytes of strings that one task call compares; a rank with more than twice as many is compared as Spark rows.
+GROUP_BYTES = 2 << 20
 _LEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Hasher:
-    """Hashes of substrings in constant time, by prefix sums of a polynomial modulo 2**64."""
+    """Hashes of substrings of 8 bytes and more in constant time.
+
+    Prefix sums of a polynomial modulo 2**64 whose coefficients are random
+    functions of 8 neighbouring bytes, so that no structure of the bytes (as of
+    Thue-Morse strings) makes the polynomial vanish.
+    """
+
+    WIDTH = 8
 
     def __init__(self, data: np.ndarray, seed: int) -> None:
+        n = max(0, len(data) - self.WIDTH + 1)
+        wide = np.zeros(n, np.uint64)
+        if n:
+            body = np.ascontiguousarray(data)
+            for k in range(min(self.WIDTH, n)):
+                count = (n - k + self.WIDTH - 1) // self.WIDTH
+                wide[k :: self.WIDTH] = np.frombuffer(body, "<u8", count, k)
         with np.errstate(over="ignore"):
-            up, self.down = powers(len(data) + 1)
-            self.total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(stream(seed, 256)[data] * up[: len(data)], out=self.total[1:])
+            up, self.down = powers(n + 1)
+            wide = mix(wide ^ stream(seed, 1)[0])
+            wide *= up[:n]
+            self.total = np.zeros(n + 1, np.uint64)
+            np.cumsum(wide, out=self.total[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             size = (np.asarray(end) - start).astype(np.uint64)
-            return mix((self.total[end] - self.total[start]) * self.down[start] + size * _LEN)
+            return mix((self.total[np.asarray(end) - self.WIDTH + 1] - self.total[start]) * self.down[start] + size * _LEN)
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text, anchor, first start, last start, first rank, second rank) of all anchors; places within the data.
+def rank_lengths(length: int) -> list[int]:
+    """Bytes that each round ranks: 2 GRAM, doubling, up to length - SPAN."""
+    out = [min(2 * GRAM, length - SPAN)]
+    while out[-1] < length - SPAN:
+        out.append(min(2 * out[-1], length - SPAN))
+    return out
 
-    A text of several segments is cut so that every start is in one of them.
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple]:
+    """Of each segment: (text, first start, last start, places of the anchors within the segment, hasher, second rank on demand).
+
+    Starts are places within the data. A text of several segments is cut so
+    that every start is in one of them.
     """
-    out: list[tuple] = []
-    for low in range(0, max(1, len(data)), SEGMENT):
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    for low in range(0, len(data), SEGMENT):
         part = data[low : low + SEGMENT + length - 1]
-        n = len(part) - length + 1
+        n = min(len(part) - length + 1, SEGMENT)
         if n <= 0:
             continue
         hashed = Hasher(part, 3)
-        at = np.arange(len(part) - GRAM + 1)
-        value, place, width = hashed(at, at + GRAM), at, 1
-        while width < SPAN:  # leftmost minimum of SPAN k-grams, by doubling
+        grams = len(part) - GRAM + 1
+        at = np.arange(grams)
+        # The leftmost minimum of SPAN k-grams, by doubling: the upper bits are the hash, the lower ones the place.
+        bits = np.uint64((2 * SEGMENT) - 1)
+        least = (hashed(at, at + GRAM) & ~bits) | at.astype(np.uint64)
+        width = 1
+        while width < SPAN:
             step = min(width, SPAN - width)
-            right = value[step:] < value[:-step]
-            value = np.where(right, value[step:], value[:-step])
-            place = np.where(right, place[step:], place[:-step])
+            least = np.minimum(least[step:], least[:-step])
             width += step
-        n = min(n, SEGMENT)
-        text = np.searchsorted(offsets, np.arange(low, low + n), "right") - 1
-        inside = np.arange(low, low + n) + length <= offsets[text + 1]
-        start = np.flatnonzero(inside)
+        place = (least[:n] & bits).astype(np.int64)
+        del least, at
+        start = np.flatnonzero(np.arange(low + length, low + length + n) <= ends[low : low + n])
         if not len(start):
             continue
         mine = place[start]
         new = np.ones(len(start), bool)
         new[1:] = (mine[1:] != mine[:-1]) | (start[1:] != start[:-1] + 1)
-        head = np.flatnonzero(new)
-        first, last = start[head], start[np.concatenate([head[1:], [len(start)]]) - 1]
-        x = mine[head]
-        other = Hasher(part, 4)
-        with np.errstate(over="ignore"):
-            second = mix(other(first, last + length) + (x - first).astype(np.uint64) * _LEN)
-        out.append((text[first], x + low, first + low, last + low, hashed(x, x + length - SPAN), second))
-    if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64,) * 4 + (np.uint64,) * 2)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        heads = np.flatnonzero(new)
+        first, last = start[heads], start[np.concatenate([heads[1:], [len(start)]]) - 1]
+        text = np.searchsorted(offsets, first + low, "right") - 1
+        yield text, first + low, last + low, mine[heads], hashed, part, low
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
@@ -100,21 +122,57 @@ def _keyed(texts: DataFrame) -> DataFrame:
     return texts.select(F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit("#")).alias("k2"), "text")
 
 
-def _all_anchors(texts: DataFrame, length: int, places: bool) -> DataFrame:
-    """(r1, r2) of every anchor, with its text's keys, first start and number of starts where ``places``."""
+def _first_ranks(texts: DataFrame, length: int) -> DataFrame:
+    """The first rank of every anchor."""
+    size = rank_lengths(length)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, data, offsets in slices(batch.column("text")):
-                text, _, first, last, r1, r2 = anchors(data, offsets, length)
-                columns = [pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64))]
-                if places:
-                    keys = [batch.column(k).to_numpy()[begin:end][text] for k in ("k1", "k2")]
-                    columns += [pa.array(k) for k in (*keys, first - offsets[text], last - first + 1)]
-                yield pa.RecordBatch.from_arrays(columns, names=["r1", "r2", "k1", "k2", "start", "starts"][: len(columns)])
+            for _, _, data, offsets in slices(batch.column("text")):
+                for *_, x, hashed, _, _ in anchors(data, offsets, length):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashed(x, x + size).view(np.int64))], names=["rank"])
+
+    return texts.mapInArrow(run, "rank long")
+
+
+def _positions(keyed: DataFrame, length: int, repeated: np.ndarray) -> DataFrame:
+    """(rank, k1, k2, start, starts, following, context) of the anchors whose first rank may be repeated.
+
+    ``following``: names of the strings by which each round makes ranks longer;
+    ``context``: name of the union of the anchor's strings.
+    """
+    held = keyed.sparkSession.sparkContext.broadcast(repeated)
+    sizes = rank_lengths(length)
 
-    spec = "r1 long, r2 long" + ", k1 long, k2 long, start long, starts long" * places
-    return texts.mapInArrow(run, spec)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, _, data, offsets in slices(batch.column("text")):
+                for text, first, last, x, hashed, part, low in anchors(data, offsets, length):
+                    rank = hashed(x, x + sizes[0])
+                    some = np.flatnonzero(maybe_in(held.value, rank))
+                    if not len(some):
+                        continue
+                    text, first, last, x, rank = (a[some] for a in (text, first, last, x, rank))
+                    follow = np.stack([hashed(x + a, x + b) for a, b in zip(sizes, sizes[1:], strict=False)] or [rank], axis=1)
+                    del hashed
+                    with np.errstate(over="ignore"):
+                        context = mix(Hasher(part, 4)(first - low, last - low + length) + (x + low - first).astype(np.uint64) * _LEN)
+                    flat = pa.array(np.ascontiguousarray(follow).view(np.int64).ravel())
+                    rows = pa.array(text + begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(rank.view(np.int64)),
+                            batch.column("k1").take(rows),
+                            batch.column("k2").take(rows),
+                            pa.array(first - offsets[text]),
+                            pa.array(last - first + 1),
+                            pa.FixedSizeListArray.from_arrays(flat, follow.shape[1]).cast(pa.list_(pa.int64())),
+                            pa.array(context.view(np.int64)),
+                        ],
+                        names=["rank", "k1", "k2", "start", "starts", "following", "context"],
+                    )
+
+    return keyed.mapInArrow(run, "rank long, k1 long, k2 long, start long, starts long, following array<long>, context long")
 
 
 def _contexts(rows: DataFrame, length: int) -> DataFrame:
@@ -162,7 +220,7 @@ _REPEATS = "r1 long, r2 long, low long, high long"
 
 
 def _compared_in_tasks(contexts: DataFrame, groups: int, length: int) -> DataFrame:
-    """Runs of repeated strings of each (r1, r2), for first ranks with few second ones."""
+    """Runs of repeated strings of each (r1, r2), for ranks with few bytes of strings."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -181,7 +239,7 @@ def _compared_in_tasks(contexts: DataFrame, groups: int, length: int) -> DataFra
 
 
 def _compared_as_rows(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for first ranks with very many second ones: every string is a row, and its name the key."""
+    """The same for ranks with many bytes of strings: every string is a row, and its name the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,15 +257,27 @@ def _compared_as_rows(contexts: DataFrame, length: int) -> DataFrame:
     return strings.join(again, ["one", "two"]).select("r1", "r2", F.col("place").alias("low"), F.col("place").alias("high"))
 
 
+def _surviving(positions: DataFrame, length: int) -> DataFrame:
+    """(r1, r2, k1, k2, start, starts, agree) of anchors whose ``length - SPAN`` bytes repeat, by rounds of doubling."""
+    alive = positions
+    rounds = len(rank_lengths(length)) - 1
+    for k in range(rounds + 1):
+        last = k == rounds
+        counts = alive.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), *([F.min("context").alias("low"), F.max("context").alias("high")] if last else []))
+        kept = counts.where("n > 1").select("rank", *([(F.col("low") == F.col("high")).alias("agree")] if last else []))
+        left = alive.join(kept, "rank")
+        if not last:
+            left = left.withColumn("rank", F.xxhash64("rank", F.get("following", F.lit(k))))
+        alive = materialize(left, f"ranks{k}")
+    return alive.select(F.col("rank").alias("r1"), F.col("context").alias("r2"), "k1", "k2", "start", "starts", "agree")
+
+
 def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, starts array of (low, high)): where strings that occur elsewhere start, for each text that has any."""
     keyed = _keyed(texts)
-    ranks = _all_anchors(texts.select("text"), length, False).groupBy("r1").agg(
-        F.count(F.lit(1)).alias("n"), F.min("r2").alias("low"), F.max("r2").alias("high")
-    )
-    shared = materialize(ranks.where("n > 1").select("r1", (F.col("low") == F.col("high")).alias("agree")), "ranks")
-    found = with_keys_maybe_in(_all_anchors(keyed, length, True), "r1", shared.select("r1")).join(shared, "r1")
-    found = materialize(found, "anchors")
+    ranks = _first_ranks(texts.select("text"), length).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    repeated = key_bitmap(ranks.where("n > 1").select("rank"))
+    found = _surviving(materialize(_positions(keyed, length, repeated), "positions"), length)
     whole = found.where("agree").select("k1", "k2", F.col("start").alias("low"), F.expr("start + starts - 1").alias("high"))
 
     mixed = found.where("not agree")
@@ -215,16 +285,15 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     covers = materialize(
         mixed.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "covers"
     )
-    size = covers.groupBy("r1").agg(F.count(F.lit(1)).alias("different"))
-    asked = covers.join(size, "r1").select(
-        "r1", "r2", (F.col("different") > MANY).alias("many"), "at.k1", "at.k2", "at.start", "at.starts"
-    )
+    size = covers.groupBy("r1").agg(F.sum(F.col("at.starts") + (length - 1)).alias("bytes"))
+    many = size.where(F.col("bytes") > 2 * GROUP_BYTES).select("r1", F.lit(True).alias("many"))
+    asked = covers.select("r1", "r2", "at.k1", "at.k2", "at.start", "at.starts")
     wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("r1", "r2", "start", "starts")).alias("wanted"))
     once = with_keys_maybe_in(keyed, "k1", asked.select("k1")).dropDuplicates(["k1", "k2"])
     cut = _contexts(once.join(wanted, ["k1", "k2"]), length)
-    contexts = materialize(cut.join(size.where(f"different > {MANY}").select("r1", F.lit(True).alias("many")), "r1", "left"), "contexts")
-    total = size.count()
-    repeats = _compared_in_tasks(contexts.where("many is null"), max(1, total // RANKS_PER_GROUP), length).union(
+    contexts = materialize(cut.join(many, "r1", "left"), "contexts")
+    total = size.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    repeats = _compared_in_tasks(contexts.where("many is null"), max(1, total // GROUP_BYTES), length).union(
         _compared_as_rows(contexts.where("many").drop("many"), length)
     )
     twice = covers.where("n > 1").select("r1", "r2").join(
@@ -242,27 +311,27 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fo
 
     A byte goes if a string of ``length`` bytes that covers it starts at another
     place too, in the same or another row; strings are judged on the input. A
-    null text is empty; repeated rows repeat each other's strings. Rows and
-    columns stay; a column already called ``found`` is refused.
+    null or short text is kept as it is (null: empty); repeated rows repeat each
+    other's strings. All rows and columns stay, whatever the columns' names; a
+    column already called ``found`` is refused. No rows give no rows.
     """
     if found in docs.columns:
         raise ValueError(f"documents already have a column {found!r}")
-    body = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    starts = materialize(repeated_starts(body.where(f"octet_length(text) >= {length}"), length), "starts")
-    spec = "struct<n_bytes:long,n_removed:long,n_spans:long,spans:array<struct<s:long,e:long>>,kept:binary>"
-    held = docs.withColumns({"_k1": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "_k2": F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit("#"))})
-    some = with_keys_maybe_in(held, "_k1", starts.select("k1")).join(
-        starts, F.expr("_k1 = k1 and _k2 = k2")
-    )
-    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    columns = list(docs.columns)
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    bodies = docs.select(body.alias("text"))
+    starts = materialize(repeated_starts(bodies.where(f"octet_length(text) >= {length}"), length), "starts")
+    kind = "struct<n_bytes:long,n_removed:long,n_spans:long,spans:array<struct<s:long,e:long>>,kept:binary>"
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("k1"), F.xxhash64(body, F.lit("#")).alias("k2"))
+    some = with_keys_maybe_in(held, "k1", starts.select("k1")).join(starts, ["k1", "k2"]).select("row", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = []
-                for body, ranges in zip(part.column(text).cast(pa.binary()).to_pylist(), part.column("starts").to_pylist(), strict=True):
+                for body, ranges in zip(part.column("row").field(text).cast(pa.binary()).to_pylist(), part.column("starts").to_pylist(), strict=True):
                     merged: list[list[int]] = []
                     for low, high in sorted((x["low"], x["high"] + length) for x in ranges):
                         if merged and low <= merged[-1][1]:
@@ -272,33 +341,24 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fo
                     edges = [0, *(x for m in merged for x in m), len(body)]
                     kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     rows.append((len(body), len(body) - len(kept), len(merged), [{"s": s, "e": e} for s, e in merged], kept))
-                names = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary())
-                struct = pa.StructArray.from_arrays(
-                    [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=list(names)
-                )
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), struct], names=[*columns, found])
-
-    schema = docs.limit(0).withColumn(found, F.lit(None).cast(spec)).schema
-    cut = some.mapInArrow(run, schema)
-    rest = with_keys_surely_out(held, starts).select(
-        *[F.col(c) for c in docs.columns],
+                struct = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=list(names))
+                yield pa.RecordBatch.from_arrays([part.column("row"), struct], names=["row", "found"])
+
+    cut = some.mapInArrow(run, some.select("row", F.lit(None).cast(kind).alias("found")).schema)
+    passed = with_keys_maybe_in(held, "k1", starts.select("k1"), True)  # only what the key filter lets pass needs the anti join
+    unsure = passed.where("_maybe").join(starts.select("k1", "k2"), ["k1", "k2"], "left_anti")
+    whole = F.coalesce(F.col("row").getField(text), F.lit(""))
+    rest = passed.where("not _maybe").select("row").union(unsure.select("row")).select(
+        "row",
         F.struct(
-            size.alias("n_bytes"),
+            F.octet_length(whole).cast("long").alias("n_bytes"),
             F.lit(0).cast("long").alias("n_removed"),
             F.lit(0).cast("long").alias("n_spans"),
             F.array().cast("array<struct<s:long,e:long>>").alias("spans"),
-            F.coalesce(F.col(text), F.lit("")).cast("binary").alias("kept"),
-        ).alias(found),
+            whole.cast("binary").alias("kept"),
+        ).alias("found"),
     )
-    return cut.union(rest)
-
-
-def with_keys_surely_out(held: DataFrame, starts: DataFrame) -> DataFrame:
-    """The rows of ``held`` without a row in ``starts``: only what the key filter lets pass needs the anti join."""
-    passed = with_keys_maybe_in(held, "_k1", starts.select("k1"), True)
-    unsure = passed.where("_maybe").join(starts.select("k1", "k2"), F.expr("_k1 = k1 and _k2 = k2"), "left_anti")
-    return passed.where("not _maybe").union(unsure)
+    return cut.union(rest).select("row.*", F.col("found").alias(found))
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:

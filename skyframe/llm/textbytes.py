@@ -1,7 +1,7 @@
 """Words and shingles of Arrow string batches as numpy arrays.
 
-Works on UTF-8 bytes, in slices of bounded size, so that a task's memory does
-not depend on the batch size. Word classes are sets of bytes: the separators
+Works on UTF-8 bytes, in slices of bounded size, so that what a task adds to
+its Arrow batch does not depend on the batch size. Word classes are sets of bytes: the separators
 used here are ASCII, hence splitting bytes equals splitting code points.
 """
 
@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,18 +31,33 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after, bytes, offsets) of runs of rows holding about ``limit`` bytes; null texts are empty."""
-    flat = texts.fill_null("").cast(pa.large_string()).cast(pa.large_binary())
-    offsets = np.frombuffer(flat.buffers()[1], np.int64, len(flat) + 1 + flat.offset)[flat.offset :]
-    raw = flat.buffers()[2]
-    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    """(first row, row after, bytes, offsets) of runs of rows holding about ``limit`` bytes; null texts are empty.
+
+    Only the offsets of the batch are read ahead; of the bytes, one run at a
+    time is looked at, and copied only where it holds nulls.
+    """
+    if not len(texts):
+        return
+    ends = _offsets(texts)
     at = 0
-    while at < len(flat):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-        yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, int(ends[at]) + limit, "right")) - 1)
+        part = texts.slice(at, end - at)
+        if part.null_count:
+            part = part.fill_null("")
+        offsets = _offsets(part).astype(np.int64)
+        raw = part.buffers()[2]
+        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+        yield at, end, data[offsets[0] : offsets[-1]], offsets - offsets[0]
         at = end
 
 
+def _offsets(texts: pa.Array) -> np.ndarray:
+    """The offsets of a string array's rows within its bytes, and the end."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
+    return np.frombuffer(texts.buffers()[1], kind, texts.offset + len(texts) + 1)[texts.offset :]
+
+
 @lru_cache(maxsize=4)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     base = 0x5851F42D4C957F2D

@@ -84,9 +84,9 @@ def test_near_duplicates_by_brute_force(docs):
     assert [r.kept for r in got if r.doc_id is None and not r.n_shingles] == [True]
 
 
-@pytest.mark.parametrize("many", [2048, 1])
-def test_suffixes_by_brute_force(docs, monkeypatch, many):
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
+@pytest.mark.parametrize("group", [2 << 20, 1])
+def test_suffixes_by_brute_force(docs, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
     bodies = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = Counter(b[i : i + 400] for _, b in bodies for i in range(len(b) - 399) if len(b) < 100_000)
     long = "z" * 400
