@@ -322,11 +322,18 @@ def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
 def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool = False) -> DataFrame:
     """(node, component) of all linked classes: ``nodes`` (id, n, f1, bands, perhaps registers), texts (id, text).
 
-    With ``copies``, all texts of an id have the same set, and there may be very many.
+    With ``copies``, an id may have many nodes and texts, all of the same set.
     """
     banded = nodes.select("id", F.explode("bands").alias("key"))
-    sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
-    shared = materialize(with_keys_maybe_in(banded, "key", sizes.select("key")).join(sizes, "key"), "bands")
+    if copies:  # sizes count classes, not copies
+        keys = materialize(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "buckets")
+        met = materialize(with_keys_maybe_in(banded, "key", keys).join(keys, "key").select("key", "id").distinct(), "bands")
+        sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+        shared = materialize(met.join(sizes, "key"), "bands")
+        nodes = materialize(with_keys_maybe_in(nodes.drop("bands"), "id", shared.select("id")).dropDuplicates(["id"]), "nodes")
+    else:
+        sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
+        shared = materialize(with_keys_maybe_in(banded, "key", sizes.select("key")).join(sizes, "key"), "bands")
 
     # The hub of a bucket is its member with the most company over all buckets: the least altered copy.
     weights = shared.groupBy("id").agg(F.sum("size").alias("weight"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, with_keys_maybe_in
 from .near_dedup import band_keys, fingerprints, linked_components, registers
 from .passages import numbered_texts, repeated_passages
 from .textbytes import NOT_SPACE, shingles, slices, words
@@ -71,7 +71,7 @@ def repeated_paragraphs(
     rows are copies like any others. A null or empty text has no paragraphs.
     """
     numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    return _by_rows(numbered, n, percent, min_words).withColumnRenamed("doc_id", doc_id).drop("row")
+    return _by_rows(materialize(numbered, "numbered"), n, percent, min_words).withColumnRenamed("doc_id", doc_id).drop("row")
 
 
 def _by_rows(numbered: DataFrame, n: int, percent: int, min_words: int) -> DataFrame:
@@ -90,52 +90,51 @@ def _by_rows(numbered: DataFrame, n: int, percent: int, min_words: int) -> DataF
                     hashed, start = words(data, offsets, NOT_SPACE)
                     count = np.diff(start)
                     runs, start = shingles(hashed, start, n)
-                    long = np.flatnonzero(count >= min_words)
+                    full = np.flatnonzero(count > 0)
+                    long = np.flatnonzero((count >= min_words) & (count > 0))
                     sets = [np.unique(runs[start[i] : start[i + 1]]) for i in long]
                     keys = meeting_keys(sets, bands, percent)
                     at = np.full(high - low, -1)
                     at[long] = np.arange(len(long))
-                    at = pa.array(at, mask=at < 0)
-                    mine = owner.slice(low, high - low)
+                    at = pa.array(at[full], mask=at[full] < 0)
+                    lined = pa.array(low + full)
+                    mine = owner.take(lined)
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column("doc_id").take(mine),
                             part.column("row").take(mine),
-                            pa.array(place[low:high], pa.int32()),
-                            pa.array(count > 0),
+                            pa.array(place[low + full], pa.int32()),
                             pa.array(fingerprints(sets)[0]).take(at),
                             pa.array([len(s) for s in sets], pa.int64()).take(at),
                             keys.take(at),
-                            pc.if_else(at.is_valid(), lines.slice(low, high - low), None),
+                            pc.if_else(at.is_valid(), lines.take(lined), None),
                         ],
-                        names=["doc_id", "row", "place", "full", "id", "n", "bands", "text"],
+                        names=["doc_id", "row", "place", "id", "n", "bands", "text"],
                     )
 
-    schema = "doc_id long, row long, place int, full boolean, id long, n long, bands array<long>, text string"
+    schema = "doc_id long, row long, place int, id long, n long, bands array<long>, text string"
     paragraphs = materialize(numbered.mapInArrow(run, schema), "paragraphs")
     compared = paragraphs.where("id is not null")
-    nodes = materialize(compared.select("id", "n", "bands").dropDuplicates(["id"]).withColumn("f1", F.col("id")), "nodes")
-    found = linked_components(nodes, compared.select("id", "text"), n, percent, copies=True)
+    found = linked_components(compared.select("id", "n", "bands", F.col("id").alias("f1")), compared.select("id", "text"), n, percent, copies=True)
 
-    placed = paragraphs.where("id is not null").join(found, F.col("id") == F.col("node"), "left").select(
-        "doc_id", "row", "place", "full", F.coalesce("component", "id").alias("component")
-    )
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row", "place")
-    firsts = placed.groupBy("component").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size"))
-    joined = placed.join(firsts.where("size > 1"), "component", "left").select("doc_id", "row", "place", "full", "first")
-    short = paragraphs.where("id is null").select("doc_id", "row", "place", "full", F.lit(None).cast(joined.schema["first"].dataType).alias("first"))
-    again = joined.union(short)
-    gone = F.col("first").isNotNull() & ~((F.col("row") == F.col("first.row")) & (F.col("place") == F.col("first.place")))
+    classes = materialize(compared.groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")), "lines")
+    named = classes.join(found, F.col("id") == F.col("node"), "left").where("size > 1 or node is not null").select("id", "first", "size", F.coalesce("component", "id").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("top"), F.sum("size").alias("all")).where("all > 1").select("component", "top")
+    several = materialize(named.select("id", "component").join(firsts, "component").select("id", F.col("top.doc_id").alias("first_doc"), F.col("top.row").alias("first_row"), F.col("top.place").alias("first_place")), "several")
+    again = with_keys_maybe_in(compared.select("row", "place", "id"), "id", several.select("id")).join(several, "id")
+    gone = again.where("row <> first_row or place <> first_place").groupBy("row").agg(
+        F.count(F.lit(1)).alias("n_removed"), F.array_sort(F.collect_list("place")).alias("removed"), F.array_sort(F.collect_set("first_doc")).alias("firsts")
+    )
+    counts = paragraphs.groupBy("row").agg(F.count(F.lit(1)).alias("n_paragraphs"))
+    zero, none = F.lit(0).cast("long"), F.array()
     return (
-        again.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.count(F.when(F.col("full"), 1)).alias("n_paragraphs"),
-            F.count(F.when(gone, 1)).alias("n_removed"),
-            F.array_sort(F.collect_list(F.when(gone, F.col("place")))).alias("removed"),
-            F.array_sort(F.collect_set(F.when(gone, F.col("first.doc_id")))).alias("firsts"),
+        numbered.select("row", "doc_id").join(counts, "row", "left").join(gone, "row", "left")
+        .select(
+            "row", "doc_id", F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_removed", zero).alias("n_removed"),
+            F.coalesce("removed", none.cast("array<int>")).alias("removed"), F.coalesce("firsts", none.cast("array<long>")).alias("firsts"),
         )
-    )
+    )
 
 
 def op5_paragraph_dedup(docs: DataFrame) -> DataFrame:
