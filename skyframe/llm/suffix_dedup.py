@@ -265,7 +265,7 @@ def _surviving(positions: DataFrame, length: int) -> DataFrame:
         last = k == rounds
         counts = alive.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), *([F.min("context").alias("low"), F.max("context").alias("high")] if last else []))
         kept = counts.where("n > 1").select("rank", *([(F.col("low") == F.col("high")).alias("agree")] if last else []))
-        left = alive.join(kept, "rank")
+        left = alive.join(materialize(kept, "kept"), "rank")  # read anew, so that a rank with very many positions can be split
         if not last:
             left = left.withColumn("rank", F.xxhash64("rank", F.get("following", F.lit(k))))
         alive = materialize(left, f"ranks{k}")
