@@ -118,8 +118,7 @@ class Model:
         scores, first = self.scores(words).astype(np.float64), words.first
         count = np.diff(first)
         text = np.repeat(np.arange(len(count)), count)
-        total = np.zeros((len(count), scores.shape[1]))
-        np.add.at(total, text, scores)
+        total = np.stack([np.bincount(text, scores[:, k], len(count)) for k in range(scores.shape[1])], axis=1)
         best = total.argmax(1)
         labels = best[text]
         # One language is the best path where no run of words gains half a penalty under another.
@@ -238,40 +237,41 @@ def identify_languages(docs: DataFrame, model: Model, text: str = "text", found:
         ]
     )
 
+    def label(m: Model, texts: pa.Array) -> Iterator[pa.Array]:
+        """The structs of the texts, a slice at a time."""
+        names = pa.array([*m.langs, UNKNOWN], pa.string())
+        for begin, end, data, offsets in slices(texts):
+            n = end - begin
+            if not m.langs:
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], kind.field("spans").type.value_type))
+                yield pa.StructArray.from_arrays([pa.array([UNKNOWN] * n, pa.string()), pa.array(np.zeros(n)), none], fields=list(kind))
+                continue
+            w = Words(data, offsets)
+            labels = m.label(w)
+            text_of = np.repeat(np.arange(n), np.diff(w.first))
+            share = np.bincount(text_of * len(m.langs) + labels, w.letters, n * len(m.langs)).reshape(n, len(m.langs))
+            letters, top = share.sum(1), share.argmax(1)
+            new = np.ones(len(labels), bool)
+            new[1:] = (labels[1:] != labels[:-1]) | (text_of[1:] != text_of[:-1])
+            heads = np.flatnonzero(new)
+            tails = np.append(heads[1:], len(labels)) - 1 if len(labels) else heads
+            base = w.text_at[text_of[heads]]
+            each = [pa.array((w.starts[heads] - base).astype(np.int32)), pa.array((w.ends[tails] - base).astype(np.int32)), names.take(pa.array(labels[heads]))]
+            spans = pa.StructArray.from_arrays(each, fields=list(kind.field("spans").type.value_type))
+            bounds = pa.array(np.searchsorted(text_of[heads], np.arange(n + 1)).astype(np.int32))
+            some = letters > 0
+            score = np.divide(share[np.arange(n), top], letters, out=np.zeros(n), where=some)
+            yield pa.StructArray.from_arrays(
+                [names.take(pa.array(np.where(some, top, len(m.langs)))), pa.array(score), pa.ListArray.from_arrays(bounds, spans)], fields=list(kind)
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for batch in batches:
-            langs, scores, spans = [], [], []
-            for begin, end, data, offsets in slices(batch.column(batch.schema.get_field_index(text))):
-                if not m.langs:
-                    langs += [UNKNOWN] * (end - begin)
-                    scores += [0.0] * (end - begin)
-                    spans += [[]] * (end - begin)
-                    continue
-                w = Words(data, offsets)
-                labels = m.label(w)
-                share = np.zeros((end - begin, len(m.langs)))
-                text_of = np.repeat(np.arange(end - begin), np.diff(w.first))
-                np.add.at(share, (text_of, labels), w.letters)
-                letters, top = share.sum(1), share.argmax(1)
-                new = np.ones(len(labels), bool)
-                new[1:] = (labels[1:] != labels[:-1]) | (text_of[1:] != text_of[:-1])
-                heads = np.flatnonzero(new)
-                tails = np.concatenate([heads[1:], [len(labels)]]) - 1
-                got: list[list] = [[] for _ in range(end - begin)]
-                for h, t in zip(heads.tolist(), tails.tolist(), strict=True) if len(labels) else ():
-                    i = int(text_of[h])
-                    base = int(w.text_at[i])
-                    got[i].append({"s": int(w.starts[h]) - base, "e": int(w.ends[t]) - base, "lang": m.langs[labels[h]]})
-                for i in range(end - begin):
-                    langs.append(m.langs[top[i]] if letters[i] else UNKNOWN)
-                    scores.append(float(share[i, top[i]] / letters[i]) if letters[i] else 0.0)
-                spans += got
-            rows = pa.StructArray.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, kind.field("spans").type)],
-                fields=list(kind),
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns, rows], names=[*batch.schema.names, found])
+            at = 0
+            for rows in label(held.value, batch.column(batch.schema.get_field_index(text))):
+                part = batch.slice(at, len(rows))
+                yield pa.RecordBatch.from_arrays([*part.columns, rows], names=[*batch.schema.names, found])
+                at += len(rows)
 
     schema = docs.limit(0).withColumn(found, F.lit(None).cast(spec)).schema
     return docs.mapInArrow(run, schema)
