@@ -38,7 +38,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing will read any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,7 +139,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         wide = star(both, True)
-        current = materialize(star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
+        before, current = current, materialize(star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     # settled: every edge joins a node to the smallest node of its component

@@ -15,7 +15,7 @@ no link between components is left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +34,8 @@ SIGMAS = 6.0
 EMPTY = 65535
 #: Classes that a task compares with as many others at a time.
 CHUNK = 512
+#: Members of their sets, so that long texts make smaller chunks.
+CHUNK_SHINGLES = 1 << 20
 #: Pairs whose registers are compared in one step.
 PAIRS = 32768
 
@@ -183,13 +185,17 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, f_a long, f_b long")
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame, copies: bool) -> DataFrame:
+#: Texts (id, text), or what gives those of some ids.
+Texts = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _texts_of(texts: Texts, ids: DataFrame, copies: bool) -> DataFrame:
     """The texts that may be of ids; with ``copies``, one text for each id."""
-    used = with_keys_maybe_in(texts, "id", ids)
-    return used.dropDuplicates(["id"]) if copies else used
+    used = with_keys_maybe_in(texts, "id", ids) if isinstance(texts, DataFrame) else texts(ids)
+    return materialize(used.dropDuplicates(["id"]), "texts") if copies else used
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool) -> DataFrame:
+def _verified(pairs: DataFrame, texts: Texts, n: int, percent: int, copies: bool) -> DataFrame:
     """The pairs whose full sets have 100 * |A and B| >= percent * |A or B|."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     used = _texts_of(texts, ids, copies)
@@ -218,19 +224,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, copies:
 
 
 def _units(open_: DataFrame) -> DataFrame:
-    """(unit, id, c): the classes of open_ (key, id, size, c) that are to be compared together.
+    """(unit, id, c): the classes of open_ (key, id, size, c, n) that are to be compared together.
 
-    Every class goes to a chunk of about CHUNK classes at most, with those that
-    reach the same largest bucket over a bucket of theirs; a unit is a pair of
+    Every class goes to a chunk of about CHUNK classes and CHUNK_SHINGLES set
+    members at most, with those that reach the same largest bucket over a
+    bucket of theirs; a unit is a pair of
     chunks, with the classes of either that share a bucket. The buckets of a
     large group lie in the same chunks, so a class meets each set of chunks
     once, not once for each bucket.
     """
     largest = open_.groupBy("id").agg(F.max(F.struct("size", "key")).alias("home"))
     label = open_.join(largest, "id").groupBy("key").agg(F.max("home").alias("home"))
-    home = open_.join(label, "key").groupBy("id").agg(F.max("home").alias("home")).select("id", "home.key")
-    crowd = home.groupBy("key").agg(F.count(F.lit(1)).alias("members"))
-    parts = F.ceil(F.col("members") / CHUNK)
+    home = open_.join(label, "key").groupBy("id").agg(F.max("home").alias("home"), F.max("n").alias("n")).select("id", "home.key", "n")
+    crowd = home.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    parts = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES))
     chunks = home.join(crowd, "key").select("id", F.xxhash64("key", F.pmod(F.xxhash64("id"), parts)).alias("chunk"))
     placed = open_.select("key", "id", "c").join(chunks, "id")
     met = placed.select("key", F.col("chunk").alias("other")).distinct()
@@ -249,7 +256,7 @@ def _units(open_: DataFrame) -> DataFrame:
     )
 
 
-def _compared(open_: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool) -> DataFrame:
+def _compared(open_: DataFrame, nodes: DataFrame, texts: Texts, n: int, percent: int, copies: bool) -> DataFrame:
     """Links (a, b) that join different components within the buckets of open_ (key, id, size, c).
 
     Units compare their classes in memory and return a spanning set of links,
@@ -319,18 +326,17 @@ def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
     return total[place[pair[:, 0]], place[pair[:, 1]]].astype(np.int64)
 
 
-def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int, copies: bool = False) -> DataFrame:
-    """(node, component) of all linked classes: ``nodes`` (id, n, f1, bands, perhaps registers), texts (id, text).
+def linked_components(nodes: DataFrame, banded: DataFrame, texts: Texts, n: int, percent: int, copies: bool = False) -> DataFrame:
+    """(node, component) of all linked classes: ``nodes`` (id, n, f1, perhaps registers), ``banded`` (id, key), texts (id, text).
 
     With ``copies``, an id may have many nodes and texts, all of the same set.
     """
-    banded = nodes.select("id", F.explode("bands").alias("key"))
     if copies:  # sizes count classes, not copies
         keys = materialize(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "buckets")
         met = materialize(with_keys_maybe_in(banded, "key", keys).join(keys, "key").select("key", "id").distinct(), "bands")
         sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
         shared = materialize(met.join(sizes, "key"), "bands")
-        nodes = materialize(with_keys_maybe_in(nodes.drop("bands"), "id", shared.select("id")).dropDuplicates(["id"]), "nodes")
+        nodes = materialize(with_keys_maybe_in(nodes, "id", shared.select("id")).dropDuplicates(["id"]), "nodes")
     else:
         sizes = materialize(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
         shared = materialize(with_keys_maybe_in(banded, "key", sizes.select("key")).join(sizes, "key"), "bands")
@@ -348,7 +354,7 @@ def linked_components(nodes: DataFrame, texts: DataFrame, n: int, percent: int,
         "key", "id", "size", F.coalesce("component", "id").alias("c")
     )
     apart = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    open_ = materialize(placed.join(apart.select("key"), "key"), "open")
+    open_ = materialize(placed.join(apart.select("key"), "key").join(nodes.select("id", "n"), "id"), "open")
     more = materialize(_compared(open_, nodes, texts, n, percent, copies), "links")
     stars_found = found.select(F.col("node").alias("a"), F.col("component").alias("b"))  # fewer and shorter than the links themselves
     return found if more.isEmpty() else connected_components(stars_found.union(more))
@@ -372,7 +378,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .agg(F.min("id").alias("id"), F.first("registers").alias("registers"), F.first("bands").alias("bands")),
         "classes",
     )
-    contracted = linked_components(classes.where("id is not null"), texts, n, percent)
+    named = classes.where("id is not null")
+    contracted = linked_components(named, named.select("id", F.explode("bands").alias("key")), texts, n, percent)
     named = classes.select("f1", "f2", F.col("n").alias("k"), F.col("id").alias("rep")).join(
         contracted, F.col("rep") == F.col("node"), "left"
     ).select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "k", F.coalesce("component", "rep").alias("component"))

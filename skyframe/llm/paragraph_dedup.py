@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_keys_maybe_in
+from .common import key_bitmap, materialize, maybe_in, with_keys_maybe_in
 from .near_dedup import band_keys, fingerprints, linked_components, registers
-from .passages import numbered_texts, repeated_passages
+from .passages import repeated_passages
 from .textbytes import NOT_SPACE, shingles, slices, words
 
 BITS, ROWS = 6, 3
@@ -27,7 +27,7 @@ BITS, ROWS = 6, 3
 SMALL = 15
 
 
-def tuned_bands(similarity: float, rows: int = ROWS, miss: float = 1e-5, most: int = (1 << BITS) // ROWS) -> int:
+def tuned_bands(similarity: float, rows: int = ROWS, miss: float = 1e-4, most: int = (1 << BITS) // ROWS) -> int:
     """The fewest bands of ``rows`` registers that miss a pair of that similarity with probability ``miss`` at most."""
     return min(most, math.ceil(math.log(miss) / math.log(1 - similarity**rows)))
 
@@ -70,52 +70,85 @@ def repeated_paragraphs(
     doc_ids of the paragraphs that stay in their stead. Paragraphs of repeated
     rows are copies like any others. A null or empty text has no paragraphs.
     """
-    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    return _by_rows(materialize(numbered, "numbered"), n, percent, min_words).withColumnRenamed("doc_id", doc_id).drop("row")
+    return _by_rows(sketched_texts(docs, doc_id, text, n, percent, min_words), n, percent).withColumnRenamed("doc_id", doc_id).drop("row")
+
 
+def sketched_texts(docs: DataFrame, doc_id: str, text: str, n: int, percent: int, min_words: int) -> DataFrame:
+    """(doc_id, row, text, lines, keys), written: of each text, the lines that hold a word and the (id, key) by which those that are compared meet.
 
-def _by_rows(numbered: DataFrame, n: int, percent: int, min_words: int) -> DataFrame:
-    """repeated_paragraphs of (doc_id, row, text), with the row."""
+    ``id`` names a line's shingle set; it is null where the line isn't compared.
+    """
     bands = tuned_bands(percent / 100)
+    line = pa.struct([("place", pa.int32()), ("id", pa.int64()), ("n", pa.int64())])
+    pair = pa.struct([("id", pa.int64()), ("key", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, _, _ in slices(batch.column("text")):
                 part = batch.slice(begin, end - begin)
                 split = pc.split_pattern(part.column("text").fill_null(""), "\n")
-                owner, lines = pc.list_parent_indices(split), split.flatten()
+                owner, lines = pc.list_parent_indices(split).to_numpy(), split.flatten()
                 first = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
-                place = np.arange(len(lines)) - first[owner.to_numpy()]
-                for low, high, data, offsets in slices(lines):
+                found: list[list[np.ndarray]] = []
+                for low, _, data, offsets in slices(lines):
                     hashed, start = words(data, offsets, NOT_SPACE)
                     count = np.diff(start)
                     runs, start = shingles(hashed, start, n)
                     full = np.flatnonzero(count > 0)
-                    long = np.flatnonzero((count >= min_words) & (count > 0))
-                    sets = [np.unique(runs[start[i] : start[i + 1]]) for i in long]
-                    keys = meeting_keys(sets, bands, percent)
-                    at = np.full(high - low, -1)
-                    at[long] = np.arange(len(long))
-                    at = pa.array(at[full], mask=at[full] < 0)
-                    lined = pa.array(low + full)
-                    mine = owner.take(lined)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column("doc_id").take(mine),
-                            part.column("row").take(mine),
-                            pa.array(place[low + full], pa.int32()),
-                            pa.array(fingerprints(sets)[0]).take(at),
-                            pa.array([len(s) for s in sets], pa.int64()).take(at),
-                            keys.take(at),
-                            pc.if_else(at.is_valid(), lines.take(lined), None),
-                        ],
-                        names=["doc_id", "row", "place", "id", "n", "bands", "text"],
-                    )
-
-    schema = "doc_id long, row long, place int, id long, n long, bands array<long>, text string"
-    paragraphs = materialize(numbered.mapInArrow(run, schema), "paragraphs")
-    compared = paragraphs.where("id is not null")
-    found = linked_components(compared.select("id", "n", "bands", F.col("id").alias("f1")), compared.select("id", "text"), n, percent, copies=True)
+                    compared = count[full] >= min_words
+                    sets = [np.unique(runs[start[i] : start[i + 1]]) for i in full[compared]]
+                    met = meeting_keys(sets, bands, percent)
+                    name, size, keys = np.zeros(len(full), np.int64), np.zeros(len(full), np.int64), np.zeros(len(full), np.int64)
+                    name[compared] = fingerprints(sets)[0]
+                    size[compared] = [len(s) for s in sets]
+                    keys[compared] = met.value_lengths().to_numpy()
+                    found.append([owner[low + full], low + full - first[owner[low + full]], compared, name, size, keys, met.flatten().to_numpy()])
+                of, place, compared, name, size, keys, met = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 7
+                compared = compared.astype(bool)
+                texts = np.arange(end - begin + 1)
+                each = pa.StructArray.from_arrays([pa.array(place, pa.int32()), pa.array(name, mask=~compared), pa.array(size, mask=~compared)], fields=list(line))
+                pairs = pa.StructArray.from_arrays([pa.array(np.repeat(name, keys)), pa.array(met, pa.int64())], fields=list(pair))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("row"),
+                        part.column("text"),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(of, texts), pa.int32()), each),
+                        pa.ListArray.from_arrays(pa.array(np.searchsorted(np.repeat(of, keys), texts), pa.int32()), pairs),
+                    ],
+                    names=["doc_id", "row", "text", "lines", "keys"],
+                )
+
+    numbered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    spec = "doc_id long, row long, text string, lines array<struct<place: int, id: long, n: long>>, keys array<struct<id: long, key: long>>"
+    return materialize(numbered.mapInArrow(run, spec), "lines")
+
+
+def _texts(sketched: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the lines whose id may be among ids."""
+    held = sketched.sparkSession.sparkContext.broadcast(key_bitmap(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, _, _ in slices(batch.column("text")):
+                split = pc.split_pattern(batch.column("text").slice(begin, end - begin).fill_null(""), "\n")
+                first = np.concatenate([[0], np.cumsum(split.value_lengths().to_numpy())])
+                mine = batch.column("lines").slice(begin, end - begin)
+                each, of = mine.flatten(), pc.list_parent_indices(mine).to_numpy()
+                known = each.field("id").is_valid().to_numpy(zero_copy_only=False)
+                ids = each.field("id").fill_null(0).to_numpy()
+                some = np.flatnonzero(known & maybe_in(held.value, ids.view(np.uint64)))
+                at = first[of[some]] + each.field("place").to_numpy()[some]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), split.flatten().take(pa.array(at))], names=["id", "text"])
+
+    return sketched.select("text", F.col("lines")).mapInArrow(run, "id long, text string")
+
+
+def _by_rows(sketched: DataFrame, n: int, percent: int) -> DataFrame:
+    """repeated_paragraphs of what sketched_texts gives, with the row."""
+    compared = sketched.select("doc_id", "row", F.explode("lines").alias("line")).select("doc_id", "row", "line.place", "line.id", "line.n").where("id is not null")
+    banded = sketched.select(F.explode("keys").alias("pair")).select("pair.id", "pair.key")
+    found = linked_components(compared.select("id", "n", F.col("id").alias("f1")), banded, lambda ids: _texts(sketched, ids), n, percent, copies=True)
 
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row", "place")
     classes = materialize(compared.groupBy("id").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")), "lines")
@@ -126,12 +159,11 @@ def _by_rows(numbered: DataFrame, n: int, percent: int, min_words: int) -> DataF
     gone = again.where("row <> first_row or place <> first_place").groupBy("row").agg(
         F.count(F.lit(1)).alias("n_removed"), F.array_sort(F.collect_list("place")).alias("removed"), F.array_sort(F.collect_set("first_doc")).alias("firsts")
     )
-    counts = paragraphs.groupBy("row").agg(F.count(F.lit(1)).alias("n_paragraphs"))
     zero, none = F.lit(0).cast("long"), F.array()
     return (
-        numbered.select("row", "doc_id").join(counts, "row", "left").join(gone, "row", "left")
+        sketched.select("row", "doc_id", F.size("lines").cast("long").alias("n_paragraphs")).join(gone, "row", "left")
         .select(
-            "row", "doc_id", F.coalesce("n_paragraphs", zero).alias("n_paragraphs"), F.coalesce("n_removed", zero).alias("n_removed"),
+            "row", "doc_id", "n_paragraphs", F.coalesce("n_removed", zero).alias("n_removed"),
             F.coalesce("removed", none.cast("array<int>")).alias("removed"), F.coalesce("firsts", none.cast("array<long>")).alias("firsts"),
         )
     )
@@ -143,10 +175,10 @@ def op5_paragraph_dedup(docs: DataFrame) -> DataFrame:
     Lines of less than five words are one shingle. n_shared_words, n_cut_words
     and cuts are those of repeated_passages; words are counted over the text.
     """
-    numbered = numbered_texts(docs)
-    passages = repeated_passages(numbered)
+    sketched = sketched_texts(docs, "doc_id", "text", 5, 80, 1)
+    passages = repeated_passages(sketched.select("doc_id", "row", "text"))
     none = F.array().cast(passages.schema["cuts"].dataType)
     return (
-        _by_rows(numbered, 5, 80, 1).join(passages, "row", "left").drop("row")
+        _by_rows(sketched, 5, 80).join(passages, "row", "left").drop("row")
         .withColumns({"n_shared_words": F.coalesce("n_shared_words", F.lit(0)), "n_cut_words": F.coalesce("n_cut_words", F.lit(0)), "cuts": F.coalesce("cuts", none)})
     )

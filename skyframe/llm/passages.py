@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, materialize, maybe_in, with_keys_maybe_in
+from .common import discard, key_bitmap, materialize, maybe_in, with_keys_maybe_in
 from .textbytes import NOT_SPACE, mix, powers, slices, words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -223,9 +223,6 @@ def repeated_passages(numbered: DataFrame, window: int = 50) -> DataFrame:
                 [batch.column("row"), pa.array(shared, pa.int64()), pa.array(cut, pa.int64()), pa.array(cuts, kind)], names=["row", "n_shared_words", "n_cut_words", "cuts"]
             )
 
-    return by_row.mapInArrow(join, "row long, n_shared_words long, n_cut_words long, cuts array<struct<begin: int, end: int>>")
-
-
-def numbered_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, row, text), written: several scans see the same row numbers."""
-    return materialize(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")), "numbered")
+    out = materialize(by_row.mapInArrow(join, "row long, n_shared_words long, n_cut_words long, cuts array<struct<begin: int, end: int>>"), "passages")
+    discard(runs, variants, judged, each)
+    return out

@@ -222,13 +222,6 @@ def test_empty_tables(spark, nothing):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "size", "source_size", "target", "taken", "source"] and out.count() > 100
-
-
 def test_components_of_random_graphs(spark):
     rng = random.Random(9)
     for nodes, count in ((60, 40), (60, 120), (400, 300)):
@@ -249,9 +242,9 @@ def test_units_cover_all_buckets(spark, monkeypatch):
     monkeypatch.setattr("skyframe.llm.near_dedup.CHUNK", 4)
     rng = random.Random(3)
     members = {key: rng.sample(range(80), rng.choice((2, 3, 30))) for key in range(25)}
-    rows = [(key, i, len(ids), i % 7) for key, ids in members.items() for i in ids]
+    rows = [(key, i, len(ids), i % 7, 10) for key, ids in members.items() for i in ids]
     units: dict[int, set[int]] = {}
-    for r in _units(spark.createDataFrame(rows, "key long, id long, size long, c long")).collect():
+    for r in _units(spark.createDataFrame(rows, "key long, id long, size long, c long, n long")).collect():
         units.setdefault(r.unit, set()).add(r.id)
         assert r.c == r.id % 7
     together = {(a, b) for ids in units.values() for a in ids for b in ids}
