@@ -124,8 +124,9 @@ def mix_sources(
     belongs nowhere and is never taken. ``weights`` go to the sources in code
     point order, repeating. ``size``: non-negative long, null counts as 0.
     Repeated rows are documents of their own; rows that agree in id share the
-    seeded order, so that which of them is cut makes no difference. A null id
-    is ordered as the text "null". No rows give no rows.
+    seeded order, so that which of them is cut makes no difference. Rows
+    without id are ordered by a hash of their columns, so that many of them
+    don't meet in one task. No rows give no rows.
     """
     spark = docs.sparkSession
     key = F.to_json(F.array_sort(F.array_distinct(F.coalesce(memberships, F.array().cast("array<string>")))))
@@ -134,7 +135,7 @@ def mix_sources(
             F.col(doc_id).alias("doc_id"),
             F.coalesce(size, F.lit(0)).cast("long").alias("size"),
             key.alias("pattern"),
-            F.md5(F.concat(F.lit(f"mix:{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))).alias("at"),
+            F.md5(F.concat(F.lit(f"mix:{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))))).alias("at"),
         ),
         "mix",
     ).withColumn("bucket", F.substring("at", 1, BUCKET_DIGITS))
