@@ -144,17 +144,16 @@ def op4_secrets(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with the text between secrets kept and each (merged) secret span replaced by ``mask``.
 
-    Rows and columns stay; a null text stays null. Weak candidates go only
-    where they are linked.
+    Rows and columns stay, whatever the columns' names; a null text stays null.
+    Repeated rows, and rows without id, are masked alike. Weak candidates go
+    only where they are linked. No rows give no rows.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     found = scan_secrets(docs, doc_id, text).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").distinct()
-    joined = (
-        docs.withColumn("_text_key", F.xxhash64(body))
-        .alias("d")
-        .join(found.alias("f"), F.expr(f"d._text_key = f.text_key and d.`{doc_id}` <=> f.doc_id"), "left")
-    )
-    source = F.col(f"d.{text}")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("key"))
+    same = (F.col("d.key") == F.col("f.text_key")) & F.col("d.row").getField(doc_id).eqNullSafe(F.col("f.doc_id"))
+    joined = held.alias("d").join(found.alias("f"), same, "left")
+    source = F.col("d.row").getField(text)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -164,7 +163,7 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mask: st
 
     cut = F.aggregate("f.spans", zero, step)
     clean = F.when(F.col("f.spans").isNull(), source).otherwise(F.concat(cut["out"], F.substr(source, cut["at"] + 1)))
-    return joined.select(*[(clean if c == text else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    return joined.select(*[(clean if c == text else F.col("d.row").getField(c)).alias(c) for c in docs.columns])
 
 
 def _duck(pattern: str, kind: int, keep: str = "true") -> str:
