@@ -20,36 +20,69 @@ from skyframe.llm.secrets import redact
 MIN_SHARE = 0.5
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores before it where docs have such a column."""
+    while name in docs.columns:
+        name = "_" + name
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what is mostly in one known language; texts that are null, without letters or mixed go."""
-    found = identify_languages(docs, train(docs), found="_language")
-    return found.where((F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= MIN_SHARE)).drop("_language")
+    """Keep what is mostly in one known language; texts that are null, without letters or mixed go.
+
+    The languages are learned from the stage's own rows with a text and a lang;
+    without such rows nothing is known and nothing stays. Repeated rows stay or
+    go together. No rows give no rows. Further columns stay.
+    """
+    name = _unused("language", docs)
+    found = identify_languages(docs, train(docs), found=name)
+    return found.where((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.score") >= MIN_SHARE)).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates (five words, similarity 0.8).
+    """Keep one row of each group of near duplicates (five words, similarity 0.8): that with the smallest doc_id, null ids last.
 
-    Rows without id stay: nothing tells which of them would go. Repeated rows stay or go together.
+    Rows are told apart by a number, not by doc_id: of repeated rows, and of
+    rows that share an id or have none, one stays like of any group. A text
+    without words, or null, is in no group and stays. Further columns stay.
     """
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    row = _unused("row", docs)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered, doc_id=row).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
+    ranked = numbered.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col(row).alias("row")).alias("rank"))
+    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("group")
+    members = materialize(groups.join(several, "group").join(ranked, "row"), "members")
+    first = members.groupBy("group").agg(F.min("rank").alias("first"))
+    gone = members.join(first, "group").where("row <> first.row").select(F.col("row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which a window of ten benchmark words occurs."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), found="_contamination")
-    return found.where(F.size("_contamination.spans") == 0).drop("_contamination")
+    """Drop documents in which a window of ten benchmark words occurs (of an item of fewer words, the item).
+
+    A null or word-free text holds no window and stays, as do all rows where
+    the benchmark has none. Repeated rows stay or go together. Further columns
+    stay.
+    """
+    name = _unused("contamination", docs)
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), found=name)
+    return found.where(F.size(f"{name}.spans") == 0).drop(name)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace secrets by a mask; n_chars follows the text where it changed."""
-    masked = redact(docs.withColumn("_before", F.col("text")))
-    changed = ~F.col("text").eqNullSafe(F.col("_before"))
-    return masked.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+    """Replace secrets by a mask; n_chars follows the text where it changed. All rows and columns stay; a null text stays null."""
+    before = _unused("before", docs)
+    masked = redact(docs.withColumn(before, F.col("text")))
+    changed = ~F.col("text").eqNullSafe(F.col(before))
+    return masked.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source_size, target, taken, source."""
+    """What the mix takes of each document: doc_id, size, source_size, target, taken, source.
+
+    One row for each row; a null source is a source of its own, a null text has
+    no words. Which of rows with equal ids is cut makes no difference.
+    """
     return op1_mix(docs)
 
 
@@ -61,7 +94,7 @@ STAGES = [
     ("mixing sources to target weights", mix),
 ]
 
-#: Language ID is learned, which SQL can't express; the stages are tested against brute force instead.
+#: Language ID is learned, which SQL can't express; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
