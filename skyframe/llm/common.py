@@ -4,7 +4,10 @@ filter, and connected components."""
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -20,26 +23,35 @@ _PAGE = 32768
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a temporary folder is
-    taken and set for the session.
+    Where the session names none, one machine gets a temporary folder, which is
+    set for the session; on a cluster, whose executors couldn't see that, this
+    is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="skyframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_scopes = threading.local()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
+    Within ``scratch`` the table goes at the scope's end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
+    if stack := getattr(_scopes, "stack", None):
+        stack[-1].append(out)
     return out
 
 
@@ -51,6 +63,32 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A scope at whose end the tables materialized within it are deleted, but for those given to the function that it yields."""
+    if not hasattr(_scopes, "stack"):
+        _scopes.stack = []
+    mine: list[DataFrame] = []
+    _scopes.stack.append(mine)
+
+    def keep(table: DataFrame) -> DataFrame:
+        mine[:] = [t for t in mine if t is not table]
+        if len(_scopes.stack) > 1:  # the scope around decides
+            _scopes.stack[-2].append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _scopes.stack.pop()
+        discard(*mine)
+
+
+def hashable(df: DataFrame) -> list[F.Column]:
+    """The columns that Spark can hash: all but maps and variants."""
+    return [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -139,8 +177,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             current.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
         wide = star(both, True)
-        before, current = current, materialize(star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
-        discard(before)
+        current = materialize(star(wide.select(F.col("a").alias("u"), F.col("b").alias("v")), False), "edges")
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     # settled: every edge joins a node to the smallest node of its component

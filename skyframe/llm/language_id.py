@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hashable
 from .textbytes import slices
 
 BINS = 1 << 16
@@ -174,12 +175,12 @@ class Model:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 4000, max_langs: int = 256) -> Model:
-    """Fit on at most about ``per_lang`` rows of each language, chosen by a hash of the text.
+    """Fit on at most about ``per_lang`` rows of each language, chosen by a hash of the whole row, so that copies of a text are chosen apart.
 
     Rows with a null text or language are left out. Without any row the model
     knows no language.
     """
-    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(*hashable(labelled)).alias("at")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if len(sizes) > max_langs:
         raise ValueError(f"more than max_langs={max_langs} languages")
@@ -189,7 +190,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_lang:
     if not langs:
         return Model([], np.zeros((0, BINS)), np.zeros((0, N_SCRIPTS)))
     keep = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / sizes[k])))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(keep, F.col("lang")) * (1 << 20))
+    chosen = rows.where(F.pmod("at", F.lit(1 << 62)) <= F.element_at(keep, F.col("lang")) * float(1 << 62)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, seen = np.zeros((len(langs), BINS), np.int64), np.zeros((len(langs), N_SCRIPTS), np.int64)

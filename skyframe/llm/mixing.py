@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import hashable, materialize
 
 #: Hex digits of the digest that name a histogram bucket: 16**3 buckets a pattern.
 BUCKET_DIGITS = 3
@@ -135,7 +135,7 @@ def mix_sources(
             F.col(doc_id).alias("doc_id"),
             F.coalesce(size, F.lit(0)).cast("long").alias("size"),
             key.alias("pattern"),
-            F.md5(F.concat(F.lit(f"mix:{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))))).alias("at"),
+            F.md5(F.concat(F.lit(f"mix:{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.xxhash64(*hashable(docs)).cast("string"))))).alias("at"),
         ),
         "mix",
     ).withColumn("bucket", F.substring("at", 1, BUCKET_DIGITS))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, with_keys_maybe_in
+from .common import connected_components, materialize, scratch, with_keys_maybe_in
 from .textbytes import NOT_SPACE, mix, shingles, slices, stream, words
 
 BUCKETS, BUCKET_BITS, MANTISSA = 128, 7, 10
@@ -327,10 +327,15 @@ def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
 
 
 def linked_components(nodes: DataFrame, banded: DataFrame, texts: Texts, n: int, percent: int, copies: bool = False) -> DataFrame:
-    """(node, component) of all linked classes: ``nodes`` (id, n, f1, perhaps registers), ``banded`` (id, key), texts (id, text).
+    """(node, component) of all linked classes, written: ``nodes`` (id, n, f1, perhaps registers), ``banded`` (id, key), texts (id, text).
 
     With ``copies``, an id may have many nodes and texts, all of the same set.
     """
+    with scratch() as keep:
+        return keep(materialize(_linked_components(nodes, banded, texts, n, percent, copies), "components"))
+
+
+def _linked_components(nodes: DataFrame, banded: DataFrame, texts: Texts, n: int, percent: int, copies: bool) -> DataFrame:
     if copies:  # sizes count classes, not copies
         keys = materialize(banded.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "buckets")
         met = materialize(with_keys_maybe_in(banded, "key", keys).join(keys, "key").select("key", "id").distinct(), "bands")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, key_bitmap, materialize, maybe_in, with_keys_maybe_in
+from .common import key_bitmap, materialize, maybe_in, scratch, with_keys_maybe_in
 from .textbytes import NOT_SPACE, mix, powers, slices, words
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -165,7 +165,7 @@ def _joined(firsts: DataFrame) -> DataFrame:
 
 
 def repeated_passages(numbered: DataFrame, window: int = 50) -> DataFrame:
-    """One row for each row of numbered (doc_id, row, text) that shares a passage: row, n_shared_words, n_cut_words, cuts.
+    """One row for each row of numbered (doc_id, row, text) that shares a passage, written: row, n_shared_words, n_cut_words, cuts.
 
     Windows of ``window`` words that occur at several places, in one text or
     in several, are shared. The first place (smallest doc_id, then row, then
@@ -174,7 +174,11 @@ def repeated_passages(numbered: DataFrame, window: int = 50) -> DataFrame:
     are the spans of words to remove: first word, word after. Null texts and
     texts of fewer words share nothing; repeated rows share all they hold.
     """
+    with scratch() as keep:
+        return keep(materialize(_repeated_passages(numbered, window), "passages"))
 
+
+def _repeated_passages(numbered: DataFrame, window: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
@@ -223,6 +227,4 @@ def repeated_passages(numbered: DataFrame, window: int = 50) -> DataFrame:
                 [batch.column("row"), pa.array(shared, pa.int64()), pa.array(cut, pa.int64()), pa.array(cuts, kind)], names=["row", "n_shared_words", "n_cut_words", "cuts"]
             )
 
-    out = materialize(by_row.mapInArrow(join, "row long, n_shared_words long, n_cut_words long, cuts array<struct<begin: int, end: int>>"), "passages")
-    discard(runs, variants, judged, each)
-    return out
+    return by_row.mapInArrow(join, "row long, n_shared_words long, n_cut_words long, cuts array<struct<begin: int, end: int>>")

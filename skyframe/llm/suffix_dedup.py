@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_bitmap, materialize, maybe_in, with_keys_maybe_in
+from .common import key_bitmap, materialize, maybe_in, scratch, with_keys_maybe_in
 from .textbytes import mix, powers, slices, stream
 
 LENGTH, SPAN, GRAM = 400, 160, 24
@@ -319,7 +319,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fo
         raise ValueError(f"documents already have a column {found!r}")
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     bodies = docs.select(body.alias("text"))
-    starts = materialize(repeated_starts(bodies.where(f"octet_length(text) >= {length}"), length), "starts")
+    with scratch() as keep:
+        starts = keep(materialize(repeated_starts(bodies.where(f"octet_length(text) >= {length}"), length), "starts"))
     kind = "struct<n_bytes:long,n_removed:long,n_spans:long,spans:array<struct<s:long,e:long>>,kept:binary>"
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("k1"), F.xxhash64(body, F.lit("#")).alias("k2"))
     some = with_keys_maybe_in(held, "k1", starts.select("k1")).join(starts, ["k1", "k2"]).select("row", "starts")
