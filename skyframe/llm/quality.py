@@ -2,8 +2,8 @@
 
 Two views of a page are learned apart: its text (hashed word counts, size and
 character-class shares) and its metadata (source, language, recorded length).
-In each round either classifier names, among all documents without a label,
-those that it is sure of. What they look like in the other view is summed over
+In each round either classifier names, among all documents (their own labels
+unread), those that it is sure of. What they look like in the other view is summed over
 the whole corpus in Spark, by class; the other classifier is then fitted to the
 labelled rows, drawn towards the direction that separates these sums. Both are
 calibrated on labelled rows kept aside, and the mean of the calibrated logits
@@ -200,10 +200,10 @@ _COLUMNS = ("text", "source", "lang", "n_chars")
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows: int = 8000, rounds: int = 2, sure: float = 0.95) -> CoTrained | None:
-    """Fit on a bounded sample of the labelled documents, exchange over all others; None where the labels hold fewer than two classes.
+    """Fit on a bounded sample of the labelled documents, exchange over all documents; None where the labels hold fewer than two classes.
 
     Repeated and null ids among the labels: the largest label of an id counts,
-    a null id or label doesn't. Documents without id are among the others.
+    a null id or label doesn't.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).alias("_y"))
     wanted = _sample(known, max_rows)
@@ -224,9 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", max_rows:
     if len(np.unique(y)) < 2 or len(y) < 8:
         return None
     model = CoTrained(views, y)
-    others = docs.join(known.select("doc_id"), "doc_id", "left_anti").select(*_COLUMNS)
     for _ in range(rounds):
-        model.learn(_taught(others, model, sure))
+        model.learn(_taught(docs.select(*_COLUMNS), model, sure))
     return model
 
 
