@@ -43,9 +43,7 @@ def test_all_short_conversations(spark):
         assert sum(r.cost for r in by[c]) == cheapest(roles), roles
         text = "".join(r.rendered for r in by[c])
         # the template read back: legal roles in turn, and every text once, in order
-        turns = [t.split("|>\n", 1) for t in text.split("<|end|>\n")]
-        turns[-1][1] = turns[-1][1].removesuffix("<|end|>") if len(turns[-1]) > 1 else ""
-        read = [t[0].removeprefix("<|") for t in turns if t[0]]
+        read = [t.split("|>\n", 1)[0].removeprefix("<|") for t in text.split("<|end|>\n") if t]
         names = read[1:] if read[0] == "system" else read
         assert names == [ROLES[1 + k % 2] for k in range(len(names))] and len(names) % 2 == 0 and names
         assert [w for w in text.replace("<", " <").split() if w.startswith("text")] == [f"text{k}" for k in range(len(roles))]
