@@ -302,7 +302,8 @@ def _compared(open_: DataFrame, nodes: DataFrame, texts: Texts, n: int, percent:
                     out.append((int(ids[i]), int(ids[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return units.join(used, "id").groupBy("unit").applyInArrow(compare, "a long, b long")
+    tasks = max(1, min(100_000, open_.count() // 2048))  # by the work, which a small shuffle hides
+    return units.join(used, "id").repartition(tasks, "unit").groupBy("unit").applyInArrow(compare, "a long, b long")
 
 
 def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
