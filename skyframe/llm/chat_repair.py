@@ -210,4 +210,11 @@ def format_chats(
 
 
 def op3_chat_formatting(turns: DataFrame) -> DataFrame:
+    """format_chats of the whole table: one row for each input row.
+
+    Null conv_ids are one conversation, null turn numbers come first, ties go
+    by role and text, repeated rows are turns of their own, a null text is
+    empty, a null role is relabelled. Other columns play no part. No rows give
+    no rows.
+    """
     return format_chats(turns)

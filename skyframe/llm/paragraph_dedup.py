@@ -174,6 +174,9 @@ def op5_paragraph_dedup(docs: DataFrame) -> DataFrame:
 
     Lines of less than five words are one shingle. n_shared_words, n_cut_words
     and cuts are those of repeated_passages; words are counted over the text.
+    One row for each row; a null text has no lines and no words, repeated rows
+    are copies like any others, of ties the first place stays (smallest doc_id,
+    null last, then row). No rows give no rows.
     """
     sketched = sketched_texts(docs, "doc_id", "text", 5, 80, 1)
     passages = repeated_passages(sketched.select("doc_id", "row", "text"))

@@ -259,4 +259,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", m
 
 
 def op7_quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """score_quality of every document by the labels of quality; nulls, ties, repeated rows and empty tables as there."""
     return score_quality(docs, labels)

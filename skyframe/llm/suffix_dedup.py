@@ -363,7 +363,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fo
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, for strings of 400 bytes."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, for strings of 400 bytes.
+
+    One row for each row; a null text has 0 bytes, repeated rows lose what they
+    share, every copy of it. No rows give no rows.
+    """
     return remove_repeats(docs.select("doc_id", "text")).select(
         "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256")
     )
