@@ -40,21 +40,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of near duplicates (five words, similarity 0.8): that with the smallest doc_id, null ids last.
+    """Keep the document with the smallest id of each group of near duplicates (five words, similarity 0.8).
 
-    Rows are told apart by a number, not by doc_id: of repeated rows, and of
-    rows that share an id or have none, one stays like of any group. A text
-    without words, or null, is in no group and stays. Further columns stay.
+    Documents are told apart by doc_id: rows without one stay, since nothing
+    tells which of them would go, and repeated rows stay or go together. A text
+    without words, or null, is in no group and stays. Further columns stay. No
+    rows give no rows.
     """
-    row = _unused("row", docs)
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    groups = near_duplicates(numbered, doc_id=row).select(F.col(row).alias("row"), F.col("component_id").alias("group"))
-    ranked = numbered.select(F.col(row).alias("row"), F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col(row).alias("row")).alias("rank"))
-    several = groups.groupBy("group").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("group")
-    members = materialize(groups.join(several, "group").join(ranked, "row"), "members")
-    first = members.groupBy("group").agg(F.min("rank").alias("first"))
-    gone = members.join(first, "group").where("row <> first.row").select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = _unused("gone", docs)
+    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
