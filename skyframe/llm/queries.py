@@ -16,7 +16,7 @@ from .near_dedup import OP2_SQL, op2_near_dedup
 from .paragraph_dedup import op5_paragraph_dedup
 from .quality import op7_quality_classifier
 from .secrets import OP4_SQL, op4_secrets
-from .suffix_dedup import op8_suffix_dedup
+from .suffix_dedup import op8_with_passages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +30,7 @@ def queries() -> dict[str, Query]:
         "op5_paragraph_dedup": lambda s, d: op5_paragraph_dedup(table(s, d, "documents")),
         "op6_embedding_near_dedup": lambda s, d: op6_embedding_dedup(table(s, d, "embeddings")),
         "op7_quality_classifier": lambda s, d: op7_quality_classifier(table(s, d, "documents"), table(s, d, "labels")),
-        "op8_suffix_array_dedup": lambda s, d: op8_suffix_dedup(table(s, d, "documents")),
+        "op8_suffix_array_dedup": lambda s, d: op8_with_passages(table(s, d, "documents")),
         "op9_benchmark_decontamination": lambda s, d: op9_decontaminate(table(s, d, "documents"), table(s, d, "benchmark")),
         "op10_language_id": lambda s, d: op10_language_id(table(s, d, "documents")),
     }

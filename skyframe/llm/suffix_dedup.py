@@ -19,11 +19,15 @@ losing a match:
    standing for all that agree in both.
 
 Ranks are names, 64-bit hashes; two independent ones decide.
+
+Passages of many words can be shorter than ``length`` bytes. They are found by
+the same steps over the texts' words, a word in a byte's place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,18 +35,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import key_bitmap, materialize, maybe_in, scratch, with_keys_maybe_in
-from .textbytes import mix, powers, slices, stream
+from .textbytes import NOT_SPACE, mix, powers, slices, stream, words
 
 LENGTH, SPAN, GRAM = 400, 160, 24
+#: Words of a passage.
+PASSAGE = 50
 #: A power of two: places within a segment and the k-grams' hashes share 64 bits.
 SEGMENT = 1 << 19
-#: Bytes of strings that one task call compares; a rank with more than twice as many is compared as Spark rows.
-GROUP_BYTES = 2 << 20
+#: Bytes of strings that one task call compares; a rank with more than eight times as many is compared as Spark rows.
+GROUP_BYTES = 1 << 19
 _LEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What strings are made of, bytes or words (A-Z lower-cased, any spaces between), their length and how anchors are chosen."""
+
+    length: int
+    span: int = SPAN
+    gram: int = GRAM
+    size: int = 1  # bytes of a unit: a word is its 64-bit hash
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The units of a slice of texts, and each text's first."""
+        return (data, offsets) if self.size == 1 else words(data, offsets, NOT_SPACE)
+
+    def least_bytes(self) -> int:
+        """Shorter texts hold no string."""
+        return self.length if self.size == 1 else 2 * self.length - 1
+
+    def ranks(self) -> list[int]:
+        return rank_lengths(self.length, self.span, self.gram)
+
+
+def words_unit(length: int) -> Unit:
+    gram = max(1, length // 4)  # words are rare enough for a single rank
+    return Unit(length, span=max(1, length - 2 * gram), gram=gram, size=8)
+
+
 class Hasher:
-    """Hashes of substrings of 8 bytes and more in constant time.
+    """Hashes of substrings of 8 bytes and more, or of runs of words, in constant time.
 
     Prefix sums of a polynomial modulo 2**64 whose coefficients are random
     functions of 8 neighbouring bytes, so that no structure of the bytes (as of
@@ -52,9 +84,10 @@ class Hasher:
     WIDTH = 8
 
     def __init__(self, data: np.ndarray, seed: int) -> None:
-        n = max(0, len(data) - self.WIDTH + 1)
-        wide = np.zeros(n, np.uint64)
-        if n:
+        self.width = self.WIDTH if data.dtype == np.uint8 else 1  # words are hashes already
+        n = max(0, len(data) - self.width + 1)
+        wide = np.zeros(n, np.uint64) if self.width > 1 else data
+        if n and self.width > 1:
             body = np.ascontiguousarray(data)
             for k in range(min(self.WIDTH, n)):
                 count = (n - k + self.WIDTH - 1) // self.WIDTH
@@ -69,23 +102,24 @@ class Hasher:
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             size = (np.asarray(end) - start).astype(np.uint64)
-            return mix((self.total[np.asarray(end) - self.WIDTH + 1] - self.total[start]) * self.down[start] + size * _LEN)
+            return mix((self.total[np.asarray(end) - self.width + 1] - self.total[start]) * self.down[start] + size * _LEN)
 
 
-def rank_lengths(length: int) -> list[int]:
-    """Bytes that each round ranks: 2 GRAM, doubling, up to length - SPAN."""
-    out = [min(2 * GRAM, length - SPAN)]
-    while out[-1] < length - SPAN:
-        out.append(min(2 * out[-1], length - SPAN))
+def rank_lengths(length: int, span: int = SPAN, gram: int = GRAM) -> list[int]:
+    """Units that each round ranks: 2 gram, doubling, up to length - span."""
+    out = [min(2 * gram, length - span)]
+    while out[-1] < length - span:
+        out.append(min(2 * out[-1], length - span))
     return out
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple]:
+def anchors(data: np.ndarray, offsets: np.ndarray, unit: Unit) -> Iterator[tuple]:
     """Of each segment: (text, first start, last start, places of the anchors within the segment, hasher, second rank on demand).
 
     Starts are places within the data. A text of several segments is cut so
     that every start is in one of them.
     """
+    length, span = unit.length, unit.span
     ends = np.repeat(offsets[1:], np.diff(offsets))
     for low in range(0, len(data), SEGMENT):
         part = data[low : low + SEGMENT + length - 1]
@@ -93,14 +127,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tupl
         if n <= 0:
             continue
         hashed = Hasher(part, 3)
-        grams = len(part) - GRAM + 1
+        grams = len(part) - unit.gram + 1
         at = np.arange(grams)
-        # The leftmost minimum of SPAN k-grams, by doubling: the upper bits are the hash, the lower ones the place.
+        # The leftmost minimum of span k-grams, by doubling: the upper bits are the hash, the lower ones the place.
         bits = np.uint64((2 * SEGMENT) - 1)
-        least = (hashed(at, at + GRAM) & ~bits) | at.astype(np.uint64)
+        least = (hashed(at, at + unit.gram) & ~bits) | at.astype(np.uint64)
         width = 1
-        while width < SPAN:
-            step = min(width, SPAN - width)
+        while width < span:
+            step = min(width, span - width)
             least = np.minimum(least[step:], least[:-step])
             width += step
         place = (least[:n] & bits).astype(np.int64)
@@ -122,32 +156,33 @@ def _keyed(texts: DataFrame) -> DataFrame:
     return texts.select(F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit("#")).alias("k2"), "text")
 
 
-def _first_ranks(texts: DataFrame, length: int) -> DataFrame:
+def _first_ranks(texts: DataFrame, unit: Unit) -> DataFrame:
     """The first rank of every anchor."""
-    size = rank_lengths(length)[0]
+    size = unit.ranks()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
-                for *_, x, hashed, _, _ in anchors(data, offsets, length):
+                for *_, x, hashed, _, _ in anchors(*unit.of(data, offsets), unit):
                     yield pa.RecordBatch.from_arrays([pa.array(hashed(x, x + size).view(np.int64))], names=["rank"])
 
     return texts.mapInArrow(run, "rank long")
 
 
-def _positions(keyed: DataFrame, length: int, repeated: np.ndarray) -> DataFrame:
+def _positions(keyed: DataFrame, unit: Unit, repeated: np.ndarray) -> DataFrame:
     """(rank, k1, k2, start, starts, following, context) of the anchors whose first rank may be repeated.
 
     ``following``: names of the strings by which each round makes ranks longer;
     ``context``: name of the union of the anchor's strings.
     """
     held = keyed.sparkSession.sparkContext.broadcast(repeated)
-    sizes = rank_lengths(length)
+    sizes, length = unit.ranks(), unit.length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, _, data, offsets in slices(batch.column("text")):
-                for text, first, last, x, hashed, part, low in anchors(data, offsets, length):
+                data, offsets = unit.of(data, offsets)
+                for text, first, last, x, hashed, part, low in anchors(data, offsets, unit):
                     rank = hashed(x, x + sizes[0])
                     some = np.flatnonzero(maybe_in(held.value, rank))
                     if not len(some):
@@ -175,19 +210,21 @@ def _positions(keyed: DataFrame, length: int, repeated: np.ndarray) -> DataFrame
     return keyed.mapInArrow(run, "rank long, k1 long, k2 long, start long, starts long, following array<long>, context long")
 
 
-def _contexts(rows: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, context): the bytes of an anchor's strings, cut from its text."""
+def _contexts(rows: DataFrame, unit: Unit) -> DataFrame:
+    """(r1, r2, context): the bytes of an anchor's strings, or their words' hashes, cut from its text."""
+    length, size = unit.length, unit.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             for i, wanted in enumerate(batch.column("wanted").to_pylist()):
-                view = memoryview(texts[i].as_py())
+                body = np.frombuffer(texts[i].as_py(), np.uint8)
+                view = memoryview(unit.of(body, np.array([0, len(body)]))[0]).cast("B")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([w["r1"] for w in wanted], pa.int64()),
                         pa.array([w["r2"] for w in wanted], pa.int64()),
-                        pa.array([bytes(view[w["start"] : w["start"] + w["starts"] + length - 1]) for w in wanted], pa.binary()),
+                        pa.array([bytes(view[w["start"] * size : (w["start"] + w["starts"] + length - 1) * size]) for w in wanted], pa.binary()),
                     ],
                     names=["r1", "r2", "context"],
                 )
@@ -195,12 +232,15 @@ def _contexts(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, "r1 long, r2 long, context binary")
 
 
-def _strings(contexts: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place within its context, two names) of every string of ``length`` bytes."""
+def _strings(contexts: pa.Array, unit: Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place within its context, two names) of every string of the wanted length."""
+    length = unit.length
     flat = contexts.cast(pa.large_binary())
     offsets = np.frombuffer(flat.buffers()[1], np.int64, flat.offset + len(flat) + 1)[flat.offset :]
     data = np.frombuffer(flat.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    offsets = offsets - offsets[0]
+    offsets = (offsets - offsets[0]) // unit.size
+    if unit.size > 1:
+        data = np.frombuffer(data.tobytes(), np.uint64)
     count = np.diff(offsets) - length + 1
     row = np.repeat(np.arange(len(count)), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -219,12 +259,12 @@ def _runs(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 _REPEATS = "r1 long, r2 long, low long, high long"
 
 
-def _compared_in_tasks(contexts: DataFrame, groups: int, length: int) -> DataFrame:
+def _compared_in_tasks(contexts: DataFrame, groups: int, unit: Unit) -> DataFrame:
     """Runs of repeated strings of each (r1, r2), for ranks with few bytes of strings."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        row, place, one, two = _strings(rows.column("context").chunk(0), length)
+        row, place, one, two = _strings(rows.column("context").chunk(0), unit)
         r1 = rows.column("r1").to_numpy()
         with np.errstate(over="ignore"):
             one = mix(one ^ r1[row].view(np.uint64))
@@ -238,14 +278,14 @@ def _compared_in_tasks(contexts: DataFrame, groups: int, length: int) -> DataFra
     return contexts.groupBy(F.pmod("r1", F.lit(groups)).alias("g")).applyInArrow(run, _REPEATS)
 
 
-def _compared_as_rows(contexts: DataFrame, length: int) -> DataFrame:
+def _compared_as_rows(contexts: DataFrame, unit: Unit) -> DataFrame:
     """The same for ranks with many bytes of strings: every string is a row, and its name the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                row, place, one, two = _strings(part.column("context"), length)
+                row, place, one, two = _strings(part.column("context"), unit)
                 columns = [part.column(c).to_numpy()[row] for c in ("r1", "r2")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (*columns, place, one.view(np.int64), two.view(np.int64))],
@@ -257,10 +297,10 @@ def _compared_as_rows(contexts: DataFrame, length: int) -> DataFrame:
     return strings.join(again, ["one", "two"]).select("r1", "r2", F.col("place").alias("low"), F.col("place").alias("high"))
 
 
-def _surviving(positions: DataFrame, length: int) -> DataFrame:
-    """(r1, r2, k1, k2, start, starts, agree) of anchors whose ``length - SPAN`` bytes repeat, by rounds of doubling."""
+def _surviving(positions: DataFrame, unit: Unit) -> DataFrame:
+    """(r1, r2, k1, k2, start, starts, agree) of anchors whose ``length - span`` units repeat, by rounds of doubling."""
     alive = positions
-    rounds = len(rank_lengths(length)) - 1
+    rounds = len(unit.ranks()) - 1
     for k in range(rounds + 1):
         last = k == rounds
         counts = alive.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), *([F.min("context").alias("low"), F.max("context").alias("high")] if last else []))
@@ -272,12 +312,14 @@ def _surviving(positions: DataFrame, length: int) -> DataFrame:
     return alive.select(F.col("rank").alias("r1"), F.col("context").alias("r2"), "k1", "k2", "start", "starts", "agree")
 
 
-def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, starts array of (low, high)): where strings that occur elsewhere start, for each text that has any."""
+def repeated_starts(texts: DataFrame, unit: Unit = Unit(LENGTH)) -> DataFrame:
+    """(k1, k2, starts array of (low, high)): where strings that occur elsewhere start, in units, for each text that has any."""
+    length = unit.length
+    texts = texts.where(f"octet_length(text) >= {unit.least_bytes()}")
     keyed = _keyed(texts)
-    ranks = _first_ranks(texts.select("text"), length).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    ranks = _first_ranks(texts.select("text"), unit).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
     repeated = key_bitmap(ranks.where("n > 1").select("rank"))
-    found = _surviving(materialize(_positions(keyed, length, repeated), "positions"), length)
+    found = _surviving(materialize(_positions(keyed, unit, repeated), "positions"), unit)
     whole = found.where("agree").select("k1", "k2", F.col("start").alias("low"), F.expr("start + starts - 1").alias("high"))
 
     mixed = found.where("not agree")
@@ -285,16 +327,16 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     covers = materialize(
         mixed.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "covers"
     )
-    size = covers.groupBy("r1").agg(F.sum(F.col("at.starts") + (length - 1)).alias("bytes"))
-    many = size.where(F.col("bytes") > 2 * GROUP_BYTES).select("r1", F.lit(True).alias("many"))
+    size = covers.groupBy("r1").agg(F.sum((F.col("at.starts") + (length - 1)) * unit.size).alias("bytes"))
+    many = size.where(F.col("bytes") > 8 * GROUP_BYTES).select("r1", F.lit(True).alias("many"))
     asked = covers.select("r1", "r2", "at.k1", "at.k2", "at.start", "at.starts")
     wanted = asked.groupBy("k1", "k2").agg(F.collect_list(F.struct("r1", "r2", "start", "starts")).alias("wanted"))
     once = with_keys_maybe_in(keyed, "k1", asked.select("k1")).dropDuplicates(["k1", "k2"])
-    cut = _contexts(once.join(wanted, ["k1", "k2"]), length)
+    cut = _contexts(once.join(wanted, ["k1", "k2"]), unit)
     contexts = materialize(cut.join(many, "r1", "left"), "contexts")
     total = size.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    repeats = _compared_in_tasks(contexts.where("many is null"), max(1, total // GROUP_BYTES), length).union(
-        _compared_as_rows(contexts.where("many").drop("many"), length)
+    repeats = _compared_in_tasks(contexts.where("many is null"), max(1, total // GROUP_BYTES), unit).union(
+        _compared_as_rows(contexts.where("many").drop("many"), unit)
     )
     twice = covers.where("n > 1").select("r1", "r2").join(
         mixed.select("r1", "r2", "k1", "k2", "start", "starts"), ["r1", "r2"]
@@ -306,13 +348,27 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return every.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("starts"))
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, found: str = "repeats") -> DataFrame:
-    """``docs`` with a struct column ``found``: n_bytes, n_removed, n_spans, spans (byte ranges), kept (the rest, as bytes).
+def _merged(starts: list[dict] | None, length: int) -> list[list[int]]:
+    """Maximal spans covered by the strings of these starts."""
+    merged: list[list[int]] = []
+    for low, high in sorted((x["low"], x["high"] + length) for x in starts or ()):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], high)
+        else:
+            merged.append([low, high])
+    return merged
+
+
+def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, found: str = "repeats", passage: int = PASSAGE) -> DataFrame:
+    """``docs`` with a struct column ``found``: n_bytes, n_removed, n_spans, spans (byte ranges), kept (the rest, as bytes), n_shared_words, passages (word ranges).
 
     A byte goes if a string of ``length`` bytes that covers it starts at another
     place too, in the same or another row; strings are judged on the input. A
     null or short text is kept as it is (null: empty); repeated rows repeat each
-    other's strings. All rows and columns stay, whatever the columns' names; a
+    other's strings. ``passages`` are the words covered by a run of ``passage``
+    words that starts at another place too, be it shorter than ``length`` bytes
+    (A-Z lower-cased, any spaces between); they are told, and nothing but what
+    strings of bytes cover is removed. All rows and columns stay, whatever the columns' names; a
     column already called ``found`` is refused. No rows give no rows.
     """
     if found in docs.columns:
@@ -320,28 +376,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fo
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     bodies = docs.select(body.alias("text"))
     with scratch() as keep:
-        starts = keep(materialize(repeated_starts(bodies.where(f"octet_length(text) >= {length}"), length), "starts"))
-    kind = "struct<n_bytes:long,n_removed:long,n_spans:long,spans:array<struct<s:long,e:long>>,kept:binary>"
+        in_words = keep(materialize(repeated_starts(bodies, words_unit(passage)).withColumnRenamed("starts", "words"), "words"))
+    with scratch() as keep:
+        in_bytes = repeated_starts(bodies, Unit(length))
+        starts = keep(materialize(in_bytes.join(in_words, ["k1", "k2"], "full"), "starts"))
+    spans = "array<struct<s:long,e:long>>"
+    kind = f"struct<n_bytes:long,n_removed:long,n_spans:long,spans:{spans},kept:binary,n_shared_words:long,passages:{spans}>"
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(body).alias("k1"), F.xxhash64(body, F.lit("#")).alias("k2"))
-    some = with_keys_maybe_in(held, "k1", starts.select("k1")).join(starts, ["k1", "k2"]).select("row", "starts")
+    some = with_keys_maybe_in(held, "k1", starts.select("k1")).join(starts, ["k1", "k2"]).select("row", "starts", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])), pa.binary())
+        names = ("n_bytes", "n_removed", "n_spans", "spans", "kept", "n_shared_words", "passages")
+        ranges = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), ranges, pa.binary(), pa.int64(), ranges)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 rows = []
-                for body, ranges in zip(part.column("row").field(text).cast(pa.binary()).to_pylist(), part.column("starts").to_pylist(), strict=True):
-                    merged: list[list[int]] = []
-                    for low, high in sorted((x["low"], x["high"] + length) for x in ranges):
-                        if merged and low <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], high)
-                        else:
-                            merged.append([low, high])
-                    edges = [0, *(x for m in merged for x in m), len(body)]
+                columns = (part.column("row").field(text).cast(pa.binary()), part.column("starts"), part.column("words"))
+                for body, at_bytes, at_words in zip(*(c.to_pylist() for c in columns), strict=True):
+                    gone, shared = _merged(at_bytes, length), _merged(at_words, passage)
+                    edges = [0, *(x for m in gone for x in m), len(body)]
                     kept = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    rows.append((len(body), len(body) - len(kept), len(merged), [{"s": s, "e": e} for s, e in merged], kept))
+                    n_shared = sum(e - s for s, e in shared)
+                    gone, shared = ([{"s": s, "e": e} for s, e in x] for x in (gone, shared))
+                    rows.append((len(body), len(body) - len(kept), len(gone), gone, kept, n_shared, shared))
                 struct = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=list(names))
                 yield pa.RecordBatch.from_arrays([part.column("row"), struct], names=["row", "found"])
 
@@ -355,8 +414,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, fo
             F.octet_length(whole).cast("long").alias("n_bytes"),
             F.lit(0).cast("long").alias("n_removed"),
             F.lit(0).cast("long").alias("n_spans"),
-            F.array().cast("array<struct<s:long,e:long>>").alias("spans"),
+            F.array().cast(spans).alias("spans"),
             whole.cast("binary").alias("kept"),
+            F.lit(0).cast("long").alias("n_shared_words"),
+            F.array().cast(spans).alias("passages"),
         ).alias("found"),
     )
     return cut.union(rest).select("row.*", F.col("found").alias(found))
@@ -368,6 +429,11 @@ def op8_suffix_dedup(docs: DataFrame) -> DataFrame:
     One row for each row; a null text has 0 bytes, repeated rows lose what they
     share, every copy of it. No rows give no rows.
     """
+    return op8_with_passages(docs).drop("n_shared_words")
+
+
+def op8_with_passages(docs: DataFrame) -> DataFrame:
+    """op8_suffix_dedup, and n_shared_words: words in passages of 50 words or more that stand elsewhere too, whatever their bytes."""
     return remove_repeats(docs.select("doc_id", "text")).select(
-        "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256")
+        "doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"), "repeats.n_shared_words"
     )

@@ -1,10 +1,14 @@
 """Repeated substrings: texts over several segments, and bytes made to defeat polynomial hashes."""
 
 import random
+import re
+from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from skyframe.llm import suffix_dedup
+from skyframe.llm.queries import queries
 from skyframe.llm.suffix_dedup import Hasher, op8_suffix_dedup, rank_lengths, remove_repeats
 
 
@@ -64,3 +68,36 @@ def test_clashing_columns_and_nulls(spark):
     assert out.columns == [*docs.columns, "repeats"]
     got = {r.doc_id: r for r in out.collect()}
     assert (got[1].repeats.n_removed, got[None].repeats.n_removed, got[2].repeats.n_bytes, got[1].starts) == (500, 450, 0, 4)
+
+
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP_BYTES, 64])
+def test_passages_of_less_than_400_bytes(spark, tmp_path, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    names = lambda a, n: [f"{a}{i}" for i in range(n)]
+    shared = names("w", 55)
+    assert len(" ".join(shared)) < 250
+    extra = [
+        (10**6, " ".join(names("p", 60) + shared + names("q", 80))),
+        (10**6 + 1, "\n".join(names("r", 13) + shared[:52]) + "  " + " ".join(names("s", 70) + shared[3:])),
+        (10**6 + 2, "ab " * 200),
+        (10**6 + 3, " ".join(names("p", 49))),
+        (10**6 + 4, None),
+        (None, " ".join(shared).upper()),
+    ]
+    docs.union(spark.createDataFrame(extra, docs.schema)).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    found, places, want = {}, defaultdict(list), defaultdict(set)
+    for doc, text in texts.items():
+        found[doc] = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        for at in range(len(found[doc]) - 49):
+            places[tuple(found[doc][at : at + 50])].append((doc, at))
+    for several in places.values():
+        for doc, at in several if len(several) > 1 else ():
+            want[doc] |= set(range(at, at + 50))
+    assert want[10**6] == set(range(60, 115)) and len(want[10**6 + 1]) == 104 and len(want[10**6 + 2]) == 200
+    got = queries()["op8_suffix_array_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.n_shared_words for r in got} == {doc: len(want[doc]) for doc in texts} and len(got) == len(texts)
+    assert all(r.n_removed == 0 for r in got if r.doc_id in (10**6, 10**6 + 1, None))
+    passages = remove_repeats(spark.createDataFrame(extra, "doc_id long, text string")).where("doc_id = 1000000").first().repeats.passages
+    assert [tuple(x) for x in passages] == [(60, 115)]
