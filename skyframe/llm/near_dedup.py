@@ -262,40 +262,44 @@ def _compared(open_: DataFrame, nodes: DataFrame, texts: Texts, n: int, percent:
     Units compare their classes in memory and return a spanning set of links,
     so pairs are never rows.
     """
-    units = _units(open_)
-    units = units.join(nodes.select("id", "f1"), "id")
+    units = materialize(_units(open_).join(nodes.select("id", "n", "f1"), "id"), "units")
     used = _texts_of(texts, open_.select("id").distinct(), copies)
 
     def compare(rows: pa.Table) -> pa.Table:
-        ids, comp, f1 = (rows.column(c).to_numpy() for c in ("id", "c", "f1"))
+        unit, ids, comp, f1 = (rows.column(c).to_numpy() for c in ("unit", "id", "c", "f1"))
         sets: list[np.ndarray] = []
         for _, _, data, offsets in slices(rows.column("text").combine_chunks()):
             sets += shingle_sets(data, offsets, n)
         own = np.flatnonzero(fingerprints(sets)[0] == f1)  # an id may stand for several texts
-        own = own[np.unique(ids[own], return_index=True)[1]]
-        ids, comp, sets = ids[own], comp[own], [sets[i] for i in own]
+        own = own[np.lexsort((ids[own], unit[own]))]
+        own = own[np.concatenate([[True], (np.diff(unit[own]) != 0) | (np.diff(ids[own]) != 0)])[: len(own)]]
+        unit, ids, comp, sets = unit[own], ids[own], comp[own], [sets[i] for i in own]
         reg, size = plain_registers(sets)[0], np.array([len(s) for s in sets], np.int64)
-        pairs, rows_at_once = [], max(1, PAIRS // max(len(ids), 1))
-        for low in range(0, len(ids), rows_at_once):
-            i, j = np.nonzero(comp[low : low + rows_at_once, None] != comp[None, :])
-            i += low
-            fit = (j > i) & (100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i]))
-            i, j = i[fit], j[fit]
-            if len(i):
-                fit = plausible(reg[i], reg[j], size[i], size[j], percent / 100)
-                pairs.append(np.stack([i[fit], j[fit]], axis=1))
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(unit) != 0])[: len(unit)])
+        met = [np.zeros((0, 2), np.int64)]
+        for first, last in zip(heads, np.append(heads[1:], len(unit)), strict=True):
+            mine, big = comp[first:last], size[first:last]
+            rows_at_once = max(1, PAIRS // (last - first))
+            for low in range(0, last - first, rows_at_once):
+                i, j = np.nonzero(mine[low : low + rows_at_once, None] != mine[None, :])
+                i += low
+                fit = (j > i) & (100 * np.minimum(big[j], big[i]) >= percent * np.maximum(big[j], big[i]))
+                met.append(np.stack([i[fit], j[fit]], axis=1) + first)
+        pair = np.concatenate(met)
+        fit = [plausible(reg[p[:, 0]], reg[p[:, 1]], size[p[:, 0]], size[p[:, 1]], percent / 100) for p in (pair[k : k + PAIRS] for k in range(0, len(pair), PAIRS))]
+        pair = pair[np.concatenate([np.zeros(0, bool), *fit])]
         out = []
-        if pairs and len(pair := np.concatenate(pairs)):
-            both = _overlaps(sets, pair)
-            union = size[pair[:, 0]] + size[pair[:, 1]] - both
-            root = {c: c for c in comp.tolist()}
+        root = {c: c for c in comp.tolist()}
 
-            def find(x: int) -> int:
-                while root[x] != x:
-                    root[x] = x = root[root[x]]
-                return x
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
 
-            for i, j in pair[100 * both >= percent * union].tolist():
+        for p in np.split(pair, np.flatnonzero(np.diff(unit[pair[:, 0]])) + 1) if len(pair) else []:  # by units
+            both = _overlaps(sets, p) if len(p) > 16 else np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in p.tolist()])
+            union = size[p[:, 0]] + size[p[:, 1]] - both
+            for i, j in p[100 * both >= percent * union].tolist():
                 x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y:
                     root[x] = y
@@ -303,7 +307,18 @@ def _compared(open_: DataFrame, nodes: DataFrame, texts: Texts, n: int, percent:
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     tasks = max(1, min(100_000, open_.count() // 2048))  # by the work, which a small shuffle hides
-    return units.join(used, "id").repartition(tasks, "unit").groupBy("unit").applyInArrow(compare, "a long, b long")
+    packed = _packed(units)
+    return packed.join(used, "id").repartition(tasks, "pack").groupBy("pack").applyInArrow(compare, "a long, b long")
+
+
+def _packed(units: DataFrame) -> DataFrame:
+    """``units`` with a column pack: small units share one call, in packs of about CHUNK classes, a quarter of CHUNK_SHINGLES members; others have their own."""
+    weight = units.groupBy("unit").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("shingles"))
+    small = F.expr(f"classes <= {CHUNK // 8} and shingles <= {CHUNK_SHINGLES // 64}")
+    classes, members = weight.where(small).agg(F.coalesce(F.sum("classes"), F.lit(0)), F.coalesce(F.sum("shingles"), F.lit(0))).first()
+    packs = max(1, classes // CHUNK, members // (CHUNK_SHINGLES // 4))
+    pack = F.when(small, F.pmod(F.xxhash64("unit"), F.lit(packs))).otherwise(F.col("unit"))
+    return units.join(weight.select("unit", pack.alias("pack")), "unit")
 
 
 def _overlaps(sets: list[np.ndarray], pair: np.ndarray) -> np.ndarray:
